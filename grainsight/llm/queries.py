@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jpeg
+from . import bpe, jpeg, langid
+from .common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,7 +28,14 @@ def op9_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("doc_id", "n_bytes", F.length("thumbnail").cast("long").alias("payload_bytes"), F.sha2("thumbnail", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, fold("doc_id", 4) != 2)
+    return langid.identify(docs, model).select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "langs", "shares")
+
+
 QUERIES: dict[str, Query] = {
+    "op3_langid": op3_langid,
     "op7_bpe": op7_bpe,
     "op9_jpeg": op9_jpeg,
 }
