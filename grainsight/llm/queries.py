@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jpeg, langid
+from . import bpe, jpeg, langid, packing, toxicity
 from .common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,12 +22,24 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learn = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select("doc_id", "toxic")
+    model = toxicity.fit(docs.join(learn, "doc_id"), fold("doc_id", 5) == 4)
+    scored = toxicity.score(docs, model)
+    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "windows", "marked")
+
+
 def op9_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = jpeg.decode(jpeg.encode(table(spark, sf_dir, "documents")))
     tail = F.substring("thumbnail", -32, 32)
     return seen.select("doc_id", "n_bytes", F.length("thumbnail").cast("long").alias("payload_bytes"), F.sha2("thumbnail", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, fold("doc_id", 4) != 2)
@@ -35,9 +47,13 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_packing": op1_packing,
     "op3_langid": op3_langid,
     "op7_bpe": op7_bpe,
+    "op8_toxicity": op8_toxicity,
     "op9_jpeg": op9_jpeg,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_packing": packing.sql(),
+}
