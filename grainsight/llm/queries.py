@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jpeg, langid, packing, toxicity
+from . import bpe, jpeg, langid, mtree, packing, toxicity
 from .common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -49,6 +53,7 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op3_langid": op3_langid,
+    "op6_mtree": op6_mtree,
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_jpeg": op9_jpeg,
@@ -56,4 +61,5 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op1_packing": packing.sql(),
+    "op6_mtree": mtree.SQL,
 }
