@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jpeg, langid, mtree, packing, toxicity
+from . import bpe, hmm, jpeg, langid, mtree, packing, toxicity
 from .common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = hmm.model_and_score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+    return scored.select(F.col("id").cast("long").alias("doc_id"), (fold("id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -53,6 +58,7 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op3_langid": op3_langid,
+    "op4_hmm": op4_hmm,
     "op6_mtree": op6_mtree,
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
