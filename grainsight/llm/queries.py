@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, jpeg, langid, mtree, packing, toxicity
+from . import bpe, hmm, jpeg, langid, mtree, packing, repeats, toxicity
 from .common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, fold("doc_id", 4) != 2)
@@ -57,6 +61,7 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
+    "op2_repeats": op2_repeats,
     "op3_langid": op3_langid,
     "op4_hmm": op4_hmm,
     "op6_mtree": op6_mtree,
