@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, jpeg, langid, mtree, packing, repeats, toxicity
+from . import bpe, forest, hmm, jpeg, langid, mtree, packing, repeats, toxicity
 from .common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,7 +34,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learn = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select("doc_id", "toxic")
-    model = toxicity.fit(docs.join(learn, "doc_id"), fold("doc_id", 5) == 4)
+    model = toxicity.fit(docs, learn, fold("doc_id", 5) == 4)
     scored = toxicity.score(docs, model)
     return scored.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "windows", "marked")
 
@@ -59,6 +59,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "langs", "shares")
 
 
+def op10_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf_dir, "documents")).withColumnsRenamed({"key": "doc_id", "component": "component_id"})
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_repeats": op2_repeats,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_jpeg": op9_jpeg,
+    "op10_forest": op10_forest,
 }
 
 ORACLES: dict[str, str] = {
