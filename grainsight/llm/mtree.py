@@ -29,7 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PAGE = 64
+#: Entries of a page, at most.
+PAGE = 256
+#: Entries of an inner page; a power of two.
 FANOUT = 16
 BLOCK = 4096
 #: Fixed value: components are scaled by this and rounded down.
@@ -58,7 +60,7 @@ class MTree:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids = ids
-        self.whole = vectors.astype(np.int64)
+        self.whole = vectors
         self.x = vectors.astype(np.float64)
         self.norm = (self.x * self.x).sum(1)
         self.most = float(self.norm.max()) if len(ids) else 0.0
@@ -76,27 +78,27 @@ class MTree:
         """Stores a page over these rows and all below it; its number."""
         if len(rows) <= PAGE:
             return self._store(rows, parent, None, None)
-        # routing objects: each the row farthest from those before it
-        chosen, nearest, owner = [], np.full(len(rows), np.inf), np.zeros(len(rows), np.int64)
-        at = 0
-        for k in range(FANOUT):
-            chosen.append(at)
-            d = self._between(int(rows[at]), rows)
-            closer = d < nearest
-            nearest[closer], owner[closer] = d[closer], k
-            at = int(np.argmax(nearest))
-            if nearest[at] == 0:
-                break
-        if len(chosen) == 1:  # all rows are the same point
-            groups = [rows[i : i + PAGE] for i in range(0, len(rows), PAGE)]
-            objects, radii = np.array([g[0] for g in groups]), np.zeros(len(groups))
-        else:
-            keep = [k for k in range(len(chosen)) if (owner == k).any()]
-            groups = [rows[owner == k] for k in keep]
-            objects, radii = rows[[chosen[k] for k in keep]], np.array([nearest[owner == k].max() for k in keep])
+        groups = self._groups(rows, FANOUT)
+        objects = np.array([self._middle(g) for g in groups])
+        radii = np.array([self._between(int(o), g).max() for o, g in zip(objects, groups, strict=True)])
         children = [self._page(g, int(o)) for g, o in zip(groups, objects, strict=True)]
         return self._store(objects, parent, radii, children)
 
+    def _groups(self, rows: np.ndarray, parts: int) -> list[np.ndarray]:
+        """Halves along the line between two far objects, again and again, until the parts fit pages: all pages are well filled."""
+        if parts == 1 or len(rows) <= PAGE:
+            return [rows]
+        a = int(rows[np.argmax(self._between(int(rows[0]), rows))])
+        from_a = self._between(a, rows)
+        b = int(rows[np.argmax(from_a)])
+        order = rows[np.argsort(from_a - self._between(b, rows), kind="stable")]
+        return [g for half in (order[: len(order) // 2], order[len(order) // 2 :]) for g in self._groups(half, parts // 2)]
+
+    def _middle(self, rows: np.ndarray) -> int:
+        """The row nearest to the mean of a group: its routing object."""
+        d = ((self.x[rows] - self.x[rows].mean(0)) ** 2).sum(1) + (self.lift[rows] - self.lift[rows].mean()) ** 2
+        return int(rows[np.argmin(d)])
+
     def _store(self, rows: np.ndarray, parent: int | None, radii: np.ndarray | None, children: list[int] | None) -> int:
         to_parent = self._between(parent, rows) if parent is not None else np.zeros(len(rows))
         self.pages.append((rows, to_parent, radii, children))
@@ -106,7 +108,8 @@ class MTree:
         """(score, id) of the k best rows, best first; rows whose id is `own` are left out."""
         if self.root < 0 or k < 1:
             return []
-        q, exact = query.astype(np.float64), query.astype(np.int64)
+        q = query.astype(np.float64)
+        exact = query.astype(np.int64) if float(q @ q) * self.most >= 2.0**104 else None
         side = float(q @ q) + self.most
         best: list[tuple[int, int]] = []  # (score, -id), the worst first
         reach = np.inf
@@ -126,7 +129,16 @@ class MTree:
             self.computed += len(open_)
             if children is None:
                 got = rows[open_]
-                for score, i in zip((self.whole[got] @ exact).tolist(), self.ids[got].tolist(), strict=True):
+                # float64 holds every partial sum exactly as long as the norms allow it
+                scores = (self.x[got] @ q).astype(np.int64) if exact is None else self.whole[got].astype(np.int64) @ exact
+                if len(best) == k:
+                    near = scores >= best[0][0]
+                    scores, got = scores[near], got[near]
+                elif len(scores) > 4 * k + 4:
+                    near = np.argpartition(-scores, k)
+                    near = scores >= scores[near[k]]
+                    scores, got = scores[near], got[near]
+                for score, i in zip(scores.tolist(), self.ids[got].tolist(), strict=True):
                     if i == own:
                         continue
                     if len(best) < k:
