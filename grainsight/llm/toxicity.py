@@ -144,33 +144,36 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1.0)
     return w
 
 
-def _sample(rows: DataFrame, most: int, longest: int, seed: int) -> list[str]:
-    """At most so many distinct texts of at most so many characters, in an order that doesn't depend on the partitions."""
-    return [r[0] for r in rows.where(F.length("text") <= longest).select("text").distinct().select("text", F.xxhash64("text", F.lit(seed)).alias("at")).orderBy("at", "text").limit(most).select("text").collect()]
-
-
-def fit(labelled: DataFrame, part: Column, text: str = "text", label: str = "toxic", per_class: int = 1500, calibration: int = 2500, longest: int = 20_000) -> Model:
-    """Learns from labelled rows; where `part` holds, they are for calibration only.
+def fit(docs: DataFrame, labels: DataFrame, part: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 1000, calibration: int = 2000, longest: int = 10_000) -> Model:
+    """Learns from the labelled rows; where `part` (of the labels) holds, they are for calibration only.
 
     At most `per_class` texts of each class make the dictionaries and at most
-    `calibration` texts the curve; none is longer than `longest` characters.
+    `calibration` texts the curve; none is longer than `longest` characters.  Their
+    keys are drawn from the labels by hash, so that only a broadcast of at most
+    2 * `per_class` + `calibration` keys meets the texts.
     """
-    rows = labelled.where(F.col(label).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label"), part.alias("held"))
+    rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), part.alias("held")).distinct()
     share = rows.agg(F.avg("label")).head()[0]
-    toxic, ordinary = (_sample(rows.where(~F.col("held") & (F.col("label") == k)), per_class, longest, 1) for k in (1, 0))
+    at = F.xxhash64("key")
+    drawn = rows.where("held").orderBy(at, "key", "label").limit(calibration)
+    for k in (1, 0):
+        drawn = drawn.unionByName(rows.where(~F.col("held") & (F.col("label") == k)).orderBy(at, "key").limit(per_class))
+    texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.length("text") <= longest)
+    found = sorted(tuple(r) for r in texts.join(F.broadcast(drawn), "key").select("held", "key", "label", "text").collect())
+    toxic, ordinary = (list(dict.fromkeys(t for held, _, y, t in found if not held and y == k)) for k in (1, 0))
     if not toxic or not ordinary:
         return Model(b"", b"", np.zeros(0), np.zeros(0), np.zeros(0), float(share or 0.0))
-    kept = rows.where(F.col("held") & (F.length("text") <= longest)).select("text", "label", F.xxhash64("text", F.lit(2)).alias("at")).orderBy("at", "text", "label").limit(calibration).collect()
-    if len({r["label"] for r in kept}) < 2:
-        kept = [{"text": t, "label": k} for k, texts in ((1, toxic), (0, ordinary)) for t in texts[:calibration]]
-    y = np.array([r["label"] for r in kept], float)
+    kept = [(t, y) for held, _, y, t in found if held]
+    if len({y for _, y in kept}) < 2:
+        kept = [(t, y) for y, texts in ((1, toxic), (0, ordinary)) for t in texts[:calibration]]
+    y = np.array([k for _, k in kept], float)
     base = _base(ordinary)
     stems = marking_stems(toxic, ordinary, max(STEMS))
     best = None
     for k in STEMS:
         content = "".join(stems[:k][::-1]).encode() + base
         meter = Meter(base + ANCHOR, content + ANCHOR)
-        x = np.array([meter.summary(r["text"]) for r in kept])
+        x = np.array([meter.summary(t) for t, _ in kept])
         mean, scale = x.mean(0), x.std(0) + 1e-9
         x = np.column_stack([np.ones(len(x)), (x - mean) / scale])
         w = _logistic(x, y)
