@@ -1,12 +1,82 @@
-"""The corpus pipeline: stages over `documents`, each on what the one before it kept."""
+"""The corpus pipeline: stages over `documents`, each on what the one before it kept.
+
+language ID, line dedup, MinHash near-dedup, substring dedup, packing.  Each stage
+is a function of (spark, docs, sf_dir); all but the last return the columns of
+`documents`, with `n_chars` brought up to date where the text changed.  Stages
+that rewrite texts keep `doc_id`; `source` and `lang` stay as they came.
+"""
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+
+from grainsight.llm import forest, langid, lines, packing, repeats
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Share of a text's words that its main language must reach.
+LEAST_SHARE = 0.3
+
+
+def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Texts may have changed: `n_chars` follows."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a language: no letters, or no language that has a fair share of the words."""
+    model = langid.train(docs, F.lit(True))
+    columns = docs.columns
+    keys = docs.select(F.struct(*columns).alias("row"), F.col("text"))
+    found = langid.identify(keys, model, key="row")
+    return found.where(F.col("lang_pred") != langid.UNDETERMINED).where(F.col("score") >= LEAST_SHARE).select("row.*").select(*columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes lines that have an earlier match, and texts of which nothing is left."""
+    return _counted(lines.dedup(docs), docs.columns)
+
 
-STAGES: list = []
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates: the one of smallest `doc_id`."""
+    kept = forest.near_duplicates(docs).where("kept").select(F.col("key").alias("_k")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi").select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes passages of 13 words or more that start in a document of smaller `doc_id`."""
+    return _counted(repeats.dedup(docs), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the kept texts in length buckets and token-budget batches."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("packing", pack),
+]
+
+#: SQL can't express the mixture model of the first stage; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    return posixpath.join(base, f"corpus-{uuid.uuid4().hex}")
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over `documents`, each written as Parquet and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = _shared_folder(spark)
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, forest, hmm, jpeg, langid, mtree, packing, repeats, toxicity
+from . import bpe, forest, hmm, jpeg, langid, lines, mtree, packing, repeats, toxicity
 from .common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").cast("long").alias("doc_id"), (fold("id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.removals(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
 def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op2_repeats": op2_repeats,
     "op3_langid": op3_langid,
     "op4_hmm": op4_hmm,
+    "op5_lines": op5_lines,
     "op6_mtree": op6_mtree,
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
