@@ -1,0 +1,101 @@
+"""Settings: nested maps from YAML, overlays, presets and versioned folder names."""
+
+from __future__ import annotations
+
+import copy
+import json
+import re
+from collections.abc import Iterator, Mapping
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def load(path: str) -> dict[str, Any]:
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        found = yaml.safe_load(f)
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} holds no settings")
+    return found
+
+
+def get(config: Mapping[str, Any], key: str, default: Any = None) -> Any:
+    """The value at a dotted key."""
+    node: Any = config
+    for part in key.split("."):
+        if not isinstance(node, Mapping) or part not in node:
+            return default
+        node = node[part]
+    return node
+
+
+def overlaid(base: Mapping[str, Any], overlay: Mapping[str, Any]) -> dict[str, Any]:
+    """Maps merge key by key; anything else replaces what was there.  Neither input changes."""
+    out = copy.deepcopy(dict(base))
+    for k, v in overlay.items():
+        out[k] = overlaid(out[k], v) if isinstance(v, Mapping) and isinstance(out.get(k), Mapping) else copy.deepcopy(v)
+    return out
+
+
+def flattened(config: Any, prefix: str = "") -> Iterator[tuple[str, str]]:
+    """(dotted name, text) in order; lists and the like as JSON."""
+    if isinstance(config, Mapping) and (config or not prefix):
+        for k, v in config.items():
+            yield from flattened(v, f"{prefix}.{k}" if prefix else str(k))
+    else:
+        yield prefix, config if isinstance(config, str) else json.dumps(config)
+
+
+def parameters(spark: SparkSession, config: Mapping[str, Any]) -> DataFrame:
+    return spark.createDataFrame(list(flattened(config)), "parameter string, value string")
+
+
+def presets(config: Mapping[str, Any]) -> list[dict[str, Any]]:
+    """The presets of `ml.beta_presets`, checked: positive beta, unique to two decimals, model and threshold given."""
+    rows, seen = [], set()
+    for raw in get(config, "ml.beta_presets", []) or []:
+        beta, threshold, model = float(raw["beta"]), float(raw["threshold"]), str(raw.get("model", "") or raw.get("model_path", ""))
+        if beta <= 0 or not 0 <= threshold <= 1 or not model:
+            raise ValueError(f"bad preset {raw!r}")
+        if round(beta, 2) in seen:
+            raise ValueError(f"beta {beta:g} comes twice")
+        seen.add(round(beta, 2))
+        rows.append({"beta": beta, "model": model, "threshold": threshold})
+    return sorted(rows, key=lambda r: r["beta"])
+
+
+def preset_for(rows: list[dict[str, Any]], beta: float) -> dict[str, Any]:
+    for r in rows:
+        if round(r["beta"], 2) == round(beta, 2):
+            return r
+    raise ValueError(f"no preset for beta {beta:g}")
+
+
+def with_preset(config: Mapping[str, Any]) -> dict[str, Any]:
+    """Settings with the model and threshold of the preset for `ml.beta`, if there are presets."""
+    rows = presets(config)
+    beta = get(config, "ml.beta", get(config, "report.f_beta"))
+    if not rows or beta is None:
+        return dict(config)
+    chosen = preset_for(rows, float(beta))
+    return overlaid(config, {"ml": {"model_path": chosen["model"], "threshold": chosen["threshold"]}})
+
+
+def next_version(name: str, taken: list[str]) -> str:
+    """`name vN` with N one more than the largest taken."""
+    pattern = re.compile(rf"{re.escape(name)} v(\d+)")
+    return f"{name} v{max((int(m[1]) for t in taken if (m := pattern.fullmatch(t))), default=0) + 1}"
+
+
+def next_day_version(day: str, taken: list[str]) -> str:
+    """`vN <day>`, counted inside that day."""
+    pattern = re.compile(rf"v(\d+) {re.escape(day)}")
+    return f"v{max((int(m[1]) for t in taken if (m := pattern.fullmatch(t))), default=0) + 1} {day}"
+
+
+def latest_run(taken: list[str]) -> str | None:
+    """The newest `vN <day>`: by day, then N."""
+    found = [(m[2], int(m[1]), t) for t in taken if (m := re.fullmatch(r"v(\d+) (\d{4}-\d{2}-\d{2})", t))]
+    return max(found)[2] if found else None

@@ -42,6 +42,8 @@ ROUNDS = 2
 WARM_ROUNDS = 25
 WARM_TEXTS = 1500
 WARM_BYTES = 6_000_000
+#: Bytes of text that a task works on at once.
+SLICE = 2 << 20
 STRETCH = 256
 #: Words whose counts every task holds, at most.
 FREQUENT = 1 << 18
@@ -151,7 +153,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 w = Words(part.column(1), lower=True)
                 if not len(w):
                     continue
@@ -297,7 +299,9 @@ def train(docs: DataFrame, v: Vocabulary, states: int = STATES, rounds: int = RO
     p = first_guess(v.mass, states)
     if not v.texts:
         return p
-    sample = [r["text"] for r in docs.where(F.length("text") <= WARM_BYTES // WARM_TEXTS * 5).select("text", F.xxhash64("text").alias("at")).orderBy("at", "text").limit(WARM_TEXTS).select("text").collect()]
+    drawn = docs.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(WARM_TEXTS)
+    short = docs.where(F.length("text") <= WARM_BYTES // WARM_TEXTS * 5)
+    sample = [r["text"] for r in sorted(short.join(F.broadcast(drawn), "id").select("id", "text").collect())]
     size, kept = 0, []
     for t in sample:
         size += len(t.encode())
@@ -316,7 +320,7 @@ def train(docs: DataFrame, v: Vocabulary, states: int = STATES, rounds: int = RO
         def run(batches: Iterable[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             total: dict[str, np.ndarray] = {}
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", SLICE):
                     total = _added(total, expected_counts(Tokens(part.column(1), shared.value), now.value))
             yield from vector_rows(total)
 
@@ -378,7 +382,7 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, p: Parameters) -> D
         v, p = shared.value, model.value
         end = math.log10(v.texts + 1.0)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 tokens = Tokens(part.column(1), v)
                 n = len(tokens.size)
                 of = tokens.words.text_of()

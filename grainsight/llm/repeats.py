@@ -30,11 +30,14 @@ table.  Other columns pass through `dedup` untouched, whatever their names.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -202,88 +205,113 @@ def _passages(shards: int, window: int):
                 out: list[tuple[int, int, int, int, int, bytes | None]] = []
                 lo, hi = to[a].tolist(), (to[b - 1] + size[b - 1]).tolist()
                 shard = (route % np.uint64(shards)).astype(np.int64).tolist()
-                count = (b - a).tolist()
+                words_in = (b - a).tolist()
                 order = np.argsort(key, kind="stable").tolist()
                 key, tid, start = key.tolist(), tid.tolist(), start.tolist()
                 for i in order:
                     words = raw[lo[i] : hi[i]]
                     before = seen.setdefault(words, key[i])
                     if before < key[i]:  # a document with a smaller key in this slice has all of it
-                        out.append((-1 - shard[i], key[i], tid[i], start[i], count[i], None))
+                        out.append((-1 - key[i] % shards, key[i], tid[i], start[i], words_in[i], None))
                     else:
-                        out.append((shard[i], key[i], tid[i], start[i], count[i], words))
+                        out.append((shard[i], key[i], tid[i], start[i], words_in[i], words))
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names)
 
     return run
 
 
-def shard_occurrences(passages: list[tuple[int, list[bytes]]], window: int) -> Iterator[tuple[int, int, int]]:
-    """(passage number, first word, words) of every stretch of a passage that windows of documents with smaller keys cover.
+class Passage:
+    """A passage's words, and the documents and places that have it."""
+
+    def __init__(self, words: bytes):
+        self.words = words
+        self.members: list[tuple[int, int, int]] = []  # key, text, first word
+
+    def stretches(self, found: list[tuple[int, int]], window: int) -> Iterator[tuple[int, int, int, int]]:
+        """(key, text, first word, words) of what windows of documents with smaller keys cover; found: (last word, first key)."""
+        latest = max(first for _, first in found)
+        common = None
+        for key, tid, start in self.members:
+            if key > latest:
+                common = common or _merged([at for at, _ in found], window)
+                mine = common
+            else:
+                mine = _merged([at for at, first in found if first < key], window)
+            for a, size in mine:
+                yield key, tid, start + a, size
+
+
+def _merged(ends: list[int], window: int) -> list[tuple[int, int]]:
+    """(first word, words) of the union of windows with these last words, in ascending order."""
+    out: list[tuple[int, int]] = []
+    for at in ends:
+        a = at - window + 1
+        if out and a <= out[-1][0] + out[-1][1]:
+            out[-1] = (out[-1][0], at + 1 - out[-1][0])
+        else:
+            out.append((a, window))
+    return out
+
+
+def shard_occurrences(passages: list[Passage], window: int) -> Iterator[tuple[int, int, int, int]]:
+    """(key, text, first word, words) of every stretch of a passage that windows of documents with smaller keys cover.
 
     Confirms which windows recur, compiles those into an automaton over words and
-    runs every passage through it.
+    streams every passage through it.
     """
-    number: dict[bytes, int] = {}
-    lines = [tuple([number.setdefault(x, len(number) + 1) for x in words]) for _, words in passages]
+    number: dict[bytes, int] = defaultdict(count(1).__next__)
+    lines = [tuple([number[x] for x in p.words.split(b" ")]) for p in passages]
     first_key: dict[tuple[int, ...], int] = {}
     recurs: set[tuple[int, ...]] = set()
-    for (key, _), line in zip(passages, lines, strict=True):
+    for p, line in zip(passages, lines, strict=True):
+        least, most = min(m[0] for m in p.members), max(m[0] for m in p.members)
         for i in range(len(line) - window + 1):
             phrase = line[i : i + window]
-            before = first_key.setdefault(phrase, key)
-            if before != key:
+            before = first_key.setdefault(phrase, least)
+            if before != most or before != least:
                 recurs.add(phrase)
-                if key < before:
-                    first_key[phrase] = key
+                if least < before:
+                    first_key[phrase] = least
     if not recurs:
         return
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for phrase in recurs:
         automaton.add_word(phrase, first_key[phrase])
     automaton.make_automaton()
-    for n, ((key, _), line) in enumerate(zip(passages, lines, strict=True)):
-        start = end = -1
-        for at, first in automaton.iter(line):
-            if first >= key:
-                continue
-            if at - window + 1 > end:
-                if end >= 0:
-                    yield n, start, end - start
-                start = at - window + 1
-            end = at + 1
-        if end >= 0:
-            yield n, start, end - start
+    for p, line in zip(passages, lines, strict=True):
+        found = list(automaton.iter(line))
+        if found:
+            yield from p.stretches(found, window)
 
 
 def _locate(window: int):
     names = ["key", "tid", "start", "size"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = None, []
-
-        def rows(out: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names)
+        shard, held = None, {}
 
         def flush() -> pa.RecordBatch:
-            found = [(held[n][0], held[n][1], held[n][2] + start, size) for n, start, size in shard_occurrences([(r[0], r[4].split(b" ")) for r in held], window)]
+            out = list(shard_occurrences(list(held.values()), window))
             held.clear()
-            return rows(found)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names)
 
         for batch in batches:
-            settled = []
-            for s, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if s < 0:
-                    settled.append(tuple(row[:4]))
-                    continue
+            settled = pc.less(batch.column(0), 0)
+            done = batch.filter(settled)
+            if done.num_rows:
+                yield pa.RecordBatch.from_arrays(done.columns[1:5], names)
+                batch = batch.filter(pc.invert(settled))
+            for s, key, tid, start, words in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 5)), strict=True):
                 if s != shard:
                     if held:
                         yield flush()
                     shard = s
-                held.append(row)
-            if settled:
-                yield rows(settled)
+                passage = held.get(words)
+                if passage is None:
+                    passage = held[words] = Passage(words)
+                passage.members.append((key, tid, start))
         if held:
             yield flush()
 

@@ -9,6 +9,7 @@ a single longer text is still taken whole.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+#: Rounds of eight bytes; what is left of longer words is hashed one by one.
+_DEPTH = 8
 _BASE = 0x2545F4914F6CDD1D
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
@@ -41,6 +44,10 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+#: Keeps the first k of eight bytes, k from 0 to 8.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser for 64-bit hashes."""
     h = h ^ (h >> np.uint64(32))
@@ -121,14 +128,32 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        up, down = _power(len(self.data))
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-        h = (total[self.end] - total[self.start]) * down[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64) * _MULT)
+        """A 64-bit hash of each word's bytes, eight bytes at a time."""
+        size = self.end - self.start
+        n = len(size)
+        h = (size.astype(np.uint64) + np.uint64(1)) * _MULT
+        if not n:
+            return h
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))
+        left, at, rest, depth = None, self.start, size, 0
+        while True:
+            part = eight[at] & _MASKS[np.minimum(rest, 8)]
+            if left is None:
+                h = mix(h ^ part)
+            else:
+                h[left] = mix(h[left] ^ part)
+            more = np.flatnonzero(rest > 8)
+            if not len(more):
+                return h
+            left = more if left is None else left[more]
+            at, rest, depth = at[more] + 8, rest[more] - 8, depth + 1
+            if depth == _DEPTH:
+                break
+        for i, a, r in zip(left.tolist(), at.tolist(), rest.tolist(), strict=True):
+            tail = hashlib.blake2b(self.data[a : a + r], digest_size=8).digest()
+            h[i] = mix(h[i : i + 1] ^ np.frombuffer(tail, "<u8"))[0]
+        return h
 
     def grams(self, h: np.ndarray, k: int) -> np.ndarray:
         """Hash of the k words from each word on; runs past a text's end are the caller's to mask."""
