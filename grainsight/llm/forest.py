@@ -5,11 +5,15 @@ similarity of at least `PERCENT` / 100; a component is what links reach.
 
 Each document's signature is read in `TREES` orders, each starting at another
 place.  Documents whose labels share a prefix in one of those orders form a region;
-its first document is the leader, with which the others are candidates.  Regions
-start at `DEPTH` values; members that don't resemble their leader descend to
-`DEEPER` values and meet a leader of their own there.  A pair at the threshold
-shares a prefix of `DEPTH` with a chance of 52 % in each of 32 orders, and so
-misses all of them once in 2e10.
+its first document is the leader, with which members that resemble it are
+candidates.  Regions start at `DEPTH` values.  Where a member doesn't resemble its
+leader, the whole region goes on, alike members too: up to `PAIRS` members are
+compared each with each, and a larger region is split by the next value of its
+order, until it is small enough or all members resemble the leader, at most to the
+end of the signature.  A pair at the threshold shares a prefix of `DEPTH` with a
+chance of 52 % in each of 32 orders, and so misses all of them once in 2e10; among
+so many half-alike documents that regions end at 8 values it does once in 24,000,
+and at 12 values once in 120.
 
 Candidates form groups, in which links are confirmed on the full sets: small
 groups all at once, in one task each.  In a large group, each member is first
@@ -33,6 +37,7 @@ clash with nothing.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +51,13 @@ SHINGLE = 5
 PERCENT = 85
 TREES = 32
 DEPTH = 4
-DEEPER = 8
 VALUES = TREES * DEPTH
 #: Estimated similarity below which a leader and a member aren't candidates; 5 standard errors below what it must be at 0.8.
 ALIKE = 0.62
+#: A region of no more members is compared each with each.
+PAIRS = 512
+#: A region of more members is split by joins, a smaller one in one task.
+REGION = 4096
 #: A group of more members or bytes is compared by hub and blocks.
 GROUP = 256
 GROUP_BYTES = 16 << 20
@@ -93,14 +101,18 @@ def signatures(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _of_order(key: np.ndarray, order: np.ndarray | int) -> np.ndarray:
+    return key & ~np.uint64(TREES - 1) | np.uint64(order)
+
+
 def labels(signature: np.ndarray, depth: int) -> np.ndarray:
-    """texts x TREES: 64-bit keys of the first `depth` values of each order."""
+    """texts x TREES: 64-bit keys of the first `depth` values of each order; the low bits tell the order."""
     out = np.zeros((len(signature), TREES), np.uint64)
     for t in range(TREES):
         key = np.full(len(signature), t + 1, np.uint64)
         for k in range(depth):
             key = mix(key * np.uint64(31) + signature[:, (t * DEPTH + k) % VALUES].astype(np.uint64))
-        out[:, t] = key
+        out[:, t] = _of_order(key, t)
     return out
 
 
@@ -138,34 +150,97 @@ def _regions(rows: DataFrame, depth: int) -> DataFrame:
     return rows.select("key", "signature").mapInArrow(run, "label long, key long")
 
 
+def _longer(members: DataFrame, rows: DataFrame, depth: int) -> DataFrame:
+    """(label, key): members (label, key) of regions of `depth` values by their regions of one value more."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                label = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                order = label % np.uint64(TREES)
+                value = _matrix(batch.column(2))[np.arange(len(label)), (order.astype(np.int64) * DEPTH + depth) % VALUES]
+                found = _of_order(mix(label * np.uint64(31) + value.astype(np.uint64)), order)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column(1)], ["label", "key"])
+
+    return members.join(rows.select("key", "signature"), "key").select("label", "key", "signature").mapInArrow(run, "label long, key long")
+
+
 def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(leader, key, alike): whether the signatures of a pair resemble each other."""
+    """(leader, key, regions, alike): whether the signatures of a pair resemble each other."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                same = (_matrix(batch.column(2)) == _matrix(batch.column(3))).mean(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same >= ALIKE)], ["leader", "key", "alike"])
+                same = (_matrix(batch.column(3)) == _matrix(batch.column(4))).mean(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(same >= ALIKE)], ["leader", "key", "regions", "alike"])
 
     of_leader = rows.select(F.col("key").alias("leader"), F.col("signature").alias("s1"))
     both = pairs.join(of_leader, "leader").join(rows.select("key", F.col("signature").alias("s2")), "key")
-    return both.select("leader", "key", "s1", "s2").mapInArrow(run, "leader long, key long, alike boolean")
+    return both.select("leader", "key", "regions", "s1", "s2").mapInArrow(run, "leader long, key long, regions array<struct<label:long,members:long>>, alike boolean")
+
+
+def resembling(signature: np.ndarray, order: int, depth: int) -> Iterator[tuple[int, int]]:
+    """(a, b) that connect members of a region of `depth` values that resemble each other."""
+    todo = [(np.arange(len(signature)), depth)]
+    while todo:
+        of, depth = todo.pop()
+        alike = (signature[of] == signature[of[0]]).mean(1) >= ALIKE
+        if alike.all():
+            yield from ((int(of[0]), int(b)) for b in of[1:])
+        elif len(of) <= PAIRS:
+            links = np.stack([(signature[of] == signature[a]).mean(1) >= ALIKE for a in of])
+            yield from ((int(of[a]), int(of[b])) for b, a in enumerate(_roots(links)) if a != b)
+        else:
+            yield from ((int(of[0]), int(b)) for b in of[1:][alike[1:]])
+            value = signature[of, (order * DEPTH + depth) % VALUES]
+            by = np.argsort(value, kind="stable")
+            parts = np.split(of[by], np.flatnonzero(np.diff(value[by])) + 1)
+            todo += [(part, depth + 1) for part in parts if len(part) > 1]
+
+
+def _descend(depth: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (label, key, signature), one region of `depth` values after the other."""
+        region, keys, held = None, [], []
+
+        def flush() -> list[tuple[int, int]]:
+            if len(keys) < 2:
+                return []
+            pairs = resembling(np.frombuffer(b"".join(held), np.uint16).reshape(-1, VALUES), region % TREES, depth)
+            return [(min(keys[a], keys[b]), max(keys[a], keys[b])) for a, b in pairs]
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for label, key, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if label != region:
+                    out += flush()
+                    region, keys, held = label, [], []
+                keys.append(key)
+                held.append(signature)
+            yield _edge_batch(out)
+        yield _edge_batch(flush())
+
+    return run
 
 
 def candidates(rows: DataFrame) -> DataFrame:
     """(leader, key): pairs of documents of one region that resemble each other."""
-
-    def star(some: DataFrame, depth: int) -> DataFrame:
-        regions = _regions(some, depth)
+    regions, depth, found = _regions(rows, DEPTH), DEPTH, []
+    while True:
         leaders = regions.groupBy("label").agg(F.min("key").alias("leader"), F.count("*").alias("members")).where("members > 1")
-        pairs = regions.join(leaders.select("label", "leader"), "label").where("key > leader").select("leader", "key").distinct()
-        return cut(_alike(pairs, some))
-
-    near = star(rows, DEPTH)
-    # a region may hold documents of several kinds: who doesn't resemble the leader descends
-    left = rows.join(near.where("NOT alike").select("key").distinct(), "key", "left_semi")
-    deeper = star(left, DEEPER)
-    return near.where("alike").unionByName(deeper.where("alike")).select("leader", "key").distinct()
+        pairs = regions.join(leaders, "label").where("key > leader").groupBy("leader", "key").agg(F.collect_list(F.struct("label", "members")).alias("regions"))
+        near = cut(_alike(pairs, rows).withColumn("regions", F.when(~F.col("alike"), F.col("regions"))))
+        found.append(near.where("alike").select("leader", "key"))
+        # a region may hold documents of several kinds: all its members go on
+        mixed = near.select(F.explode("regions").alias("r")).select("r.*").where("members > 2").distinct()
+        members = regions.join(mixed, "label")
+        few = members.where(F.col("members") <= REGION).select("label", "key").join(rows.select("key", "signature"), "key").select("label", "key", "signature")
+        found.append(few.repartition("label").sortWithinPartitions("label").mapInArrow(_descend(depth), "leader long, key long"))
+        if mixed.where(F.col("members") > REGION).isEmpty():
+            break
+        regions = cut(_longer(members.where(F.col("members") > REGION).select("label", "key"), rows, depth))
+        depth += 1
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
