@@ -125,8 +125,12 @@ def _hits(h: np.ndarray, key: np.ndarray, frequent: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(h.view(np.int64)), pa.array(frequent)], ["key", "h", "frequent"])
 
 
-def _recurring(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one hash range follow each other: the documents of each phrase that recurs."""
+def _recurring(often: int):
+    return lambda batches: _recurring_hits(batches, often)
+
+
+def _recurring_hits(batches: Iterable[pa.RecordBatch], often: int) -> Iterator[pa.RecordBatch]:
+    """Rows of one hash range follow each other: the documents of each phrase that recurs, frequent if more than `often` slices sent it."""
     place, held = None, []
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -141,7 +145,7 @@ def _recurring(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # entries of one document, sent by two tasks, don't make a phrase recur
         several = np.maximum.reduceat(key, new) != np.minimum.reduceat(key, new)
         keep = np.repeat(several | np.maximum.reduceat(multi, new), size)
-        frequent = np.repeat(size > FREQUENT, size)
+        frequent = np.repeat(size > often, size)
         yield _hits(h[keep], key[keep], frequent[keep])
 
     for batch in batches:
@@ -401,7 +405,10 @@ def _spans(docs: DataFrame, window: int) -> DataFrame:
     # the same columns as below, so that the plan shuffles the texts once and reads that exchange three times
     single = marked.where("NOT copy").select("key", "text", "tid")
     entries = single.mapInArrow(_send_anchors(shares, window), "place int, h binary, key binary, multi binary")
-    hits = entries.repartition("place").sortWithinPartitions("place").mapInArrow(_recurring, "key long, h long, frequent boolean")
+    hits = entries.repartition("place").sortWithinPartitions("place").mapInArrow(_recurring(FREQUENT), "key long, h long, frequent boolean")
+    # a phrase is frequent for all its documents, also for those that came back without its count; each has over FREQUENT entries, so they are few
+    frequent = hits.where("frequent").select("h").distinct().withColumn("often", F.lit(True))
+    hits = hits.select("key", "h").join(F.broadcast(frequent), "h", "left").select("key", "h", F.coalesce("often", F.lit(False)).alias("frequent"))
     asked = hits.groupBy("key").agg(F.collect_list(F.struct("h", "frequent")).alias("hits"))
     sent = marked.where("NOT copy").join(asked, "key").select("key", "text", "tid", "hits").mapInArrow(_passages(shares, window), "shard int, key long, tid long, start int, size int, words binary")
     found = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(_locate(window), "key long, tid long, start int, size int")
