@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Share of a text's words that its main language must reach.
 LEAST_SHARE = 0.3
+#: Similarity of five-word shingle sets from which documents are near-duplicates, in percent.
+NEAR_PERCENT = 80
 
 
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -40,7 +42,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: the one of smallest `doc_id`."""
-    kept = forest.near_duplicates(docs).where("kept").select(F.col("key").alias("_k")).distinct()
+    kept = forest.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select(F.col("key").alias("_k")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi").select(*docs.columns)
 
 

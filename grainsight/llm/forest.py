@@ -1,7 +1,7 @@
 """MinHash near-dedup by LSH forest (operator 10).
 
 Documents are linked if their sets of five-word shingles have a Jaccard
-similarity of at least `PERCENT` / 100; a component is what links reach.
+similarity of at least `percent` / 100, `PERCENT` if not told; a component is what links reach.
 
 Each document's signature is read in `TREES` orders, each starting at another
 place.  Documents whose labels share a prefix in one of those orders form a region;
@@ -36,6 +36,7 @@ clash with nothing.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -48,12 +49,11 @@ from .common import cut
 from .textcols import Words, mix, slices
 
 SHINGLE = 5
+#: Of a similarity; callers may ask for another one.
 PERCENT = 85
 TREES = 32
 DEPTH = 4
 VALUES = TREES * DEPTH
-#: Estimated similarity below which a leader and a member aren't candidates; 5 standard errors below what it must be at 0.8.
-ALIKE = 0.62
 #: A region of no more members is compared each with each.
 PAIRS = 512
 #: A region of more members is split by joins, a smaller one in one task.
@@ -101,6 +101,12 @@ def signatures(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def alike_from(percent: int) -> float:
+    """Estimated similarity below which two documents aren't candidates: 5 standard errors below what it must be."""
+    p = percent / 100
+    return p - 5 * math.sqrt(p * (1 - p) / VALUES)
+
+
 def _of_order(key: np.ndarray, order: np.ndarray | int) -> np.ndarray:
     return key & ~np.uint64(TREES - 1) | np.uint64(order)
 
@@ -165,30 +171,30 @@ def _longer(members: DataFrame, rows: DataFrame, depth: int) -> DataFrame:
     return members.join(rows.select("key", "signature"), "key").select("label", "key", "signature").mapInArrow(run, "label long, key long")
 
 
-def _alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def _alike(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     """(leader, key, regions, alike): whether the signatures of a pair resemble each other."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 same = (_matrix(batch.column(3)) == _matrix(batch.column(4))).mean(1)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(same >= ALIKE)], ["leader", "key", "regions", "alike"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(same >= least)], ["leader", "key", "regions", "alike"])
 
     of_leader = rows.select(F.col("key").alias("leader"), F.col("signature").alias("s1"))
     both = pairs.join(of_leader, "leader").join(rows.select("key", F.col("signature").alias("s2")), "key")
     return both.select("leader", "key", "regions", "s1", "s2").mapInArrow(run, "leader long, key long, regions array<struct<label:long,members:long>>, alike boolean")
 
 
-def resembling(signature: np.ndarray, order: int, depth: int) -> Iterator[tuple[int, int]]:
+def resembling(signature: np.ndarray, order: int, depth: int, least: float) -> Iterator[tuple[int, int]]:
     """(a, b) that connect members of a region of `depth` values that resemble each other."""
     todo = [(np.arange(len(signature)), depth)]
     while todo:
         of, depth = todo.pop()
-        alike = (signature[of] == signature[of[0]]).mean(1) >= ALIKE
+        alike = (signature[of] == signature[of[0]]).mean(1) >= least
         if alike.all():
             yield from ((int(of[0]), int(b)) for b in of[1:])
         elif len(of) <= PAIRS:
-            links = np.stack([(signature[of] == signature[a]).mean(1) >= ALIKE for a in of])
+            links = np.stack([(signature[of] == signature[a]).mean(1) >= least for a in of])
             yield from ((int(of[a]), int(of[b])) for b, a in enumerate(_roots(links)) if a != b)
         else:
             yield from ((int(of[0]), int(b)) for b in of[1:][alike[1:]])
@@ -198,7 +204,7 @@ def resembling(signature: np.ndarray, order: int, depth: int) -> Iterator[tuple[
             todo += [(part, depth + 1) for part in parts if len(part) > 1]
 
 
-def _descend(depth: int):
+def _descend(depth: int, least: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (label, key, signature), one region of `depth` values after the other."""
         region, keys, held = None, [], []
@@ -206,7 +212,7 @@ def _descend(depth: int):
         def flush() -> list[tuple[int, int]]:
             if len(keys) < 2:
                 return []
-            pairs = resembling(np.frombuffer(b"".join(held), np.uint16).reshape(-1, VALUES), region % TREES, depth)
+            pairs = resembling(np.frombuffer(b"".join(held), np.uint16).reshape(-1, VALUES), region % TREES, depth, least)
             return [(min(keys[a], keys[b]), max(keys[a], keys[b])) for a, b in pairs]
 
         for batch in batches:
@@ -223,19 +229,20 @@ def _descend(depth: int):
     return run
 
 
-def candidates(rows: DataFrame) -> DataFrame:
+def candidates(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(leader, key): pairs of documents of one region that resemble each other."""
     regions, depth, found = _regions(rows, DEPTH), DEPTH, []
+    least = alike_from(percent)
     while True:
         leaders = regions.groupBy("label").agg(F.min("key").alias("leader"), F.count("*").alias("members")).where("members > 1")
         pairs = regions.join(leaders, "label").where("key > leader").groupBy("leader", "key").agg(F.collect_list(F.struct("label", "members")).alias("regions"))
-        near = cut(_alike(pairs, rows).withColumn("regions", F.when(~F.col("alike"), F.col("regions"))))
+        near = cut(_alike(pairs, rows, least).withColumn("regions", F.when(~F.col("alike"), F.col("regions"))))
         found.append(near.where("alike").select("leader", "key"))
         # a region may hold documents of several kinds: all its members go on
         mixed = near.select(F.explode("regions").alias("r")).select("r.*").where("members > 2").distinct()
         members = regions.join(mixed, "label")
         few = members.where(F.col("members") <= REGION).select("label", "key").join(rows.select("key", "signature"), "key").select("label", "key", "signature")
-        found.append(few.repartition("label").sortWithinPartitions("label").mapInArrow(_descend(depth), "leader long, key long"))
+        found.append(few.repartition("label").sortWithinPartitions("label").mapInArrow(_descend(depth, least), "leader long, key long"))
         if mixed.where(F.col("members") > REGION).isEmpty():
             break
         regions = cut(_longer(members.where(F.col("members") > REGION).select("label", "key"), rows, depth))
@@ -284,10 +291,10 @@ class _Group:
             out += there[a] @ there[b].T
         return out
 
-    def linked(self, a: slice, b: slice) -> np.ndarray:
+    def linked(self, a: slice, b: slice, percent: int) -> np.ndarray:
         both = self.shared(a, b)
         union = self.size[a][:, None] + self.size[b][None, :] - both
-        return 100 * both >= PERCENT * union
+        return 100 * both >= percent * union
 
 
 def _roots(links: np.ndarray) -> np.ndarray:
@@ -302,7 +309,7 @@ def _roots(links: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _small_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _small_groups(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (group, key, text), one group after the other: (a, b) edges from the first to each other member of a component."""
     group, keys, texts = None, [], []
 
@@ -311,7 +318,7 @@ def _small_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             return []
         order = np.argsort(keys, kind="stable")
         g = _Group([texts[i] for i in order])
-        root = _roots(g.linked(slice(None), slice(None)))
+        root = _roots(g.linked(slice(None), slice(None), percent))
         return [(keys[order[r]], keys[order[i]]) for i, r in enumerate(root) if r != i]
 
     out: list[tuple[int, int]] = []
@@ -332,7 +339,7 @@ def _edge_batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["a", "b"])
 
 
-def _against_hub(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _against_hub(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (group, key, text, hub, hub_text): the distance to the hub, and whether it links."""
     known: tuple = (None, None)
     for batch in batches:
@@ -346,11 +353,11 @@ def _against_hub(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = int((known[1][at] == mine).sum())
             union = len(mine) + len(known[1]) - both
             distance.append(1 - both / union)
-            links.append(100 * both >= PERCENT * union)
+            links.append(100 * both >= percent * union)
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array(distance, pa.float64()), pa.array(links, pa.bool_())], ["group", "key", "hub", "distance", "links"])
 
 
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (block, asks, key, joined, text), one block after the other: links of those that ask with the others.
 
     `joined` members are linked with their hub already, so one link with any of
@@ -363,7 +370,7 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not asks or not rest:
             return []
         g = _Group([r[3] for r in (*asks, *rest)])
-        links = g.linked(slice(0, len(asks)), slice(len(asks), None))
+        links = g.linked(slice(0, len(asks)), slice(len(asks), None), percent)
         keys, joined = np.array([r[1] for r in rest], np.int64), np.array([r[2] for r in rest])
         found = []
         for i, row in enumerate(links):
@@ -383,7 +390,7 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _edge_batch(flush())
 
 
-def _large_groups(members: DataFrame, rows: DataFrame) -> DataFrame:
+def _large_groups(members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect the components of large groups; members: (group, key, text)."""
     regions = _regions(members.select("key").join(rows, "key"), DEPTH).join(members.select("group", "key"), "key")
     weight = regions.groupBy("group", "label").agg(F.count("*").alias("n")).where("n > 1")
@@ -391,12 +398,12 @@ def _large_groups(members: DataFrame, rows: DataFrame) -> DataFrame:
     hubs = dense.groupBy("group").agg(F.max(F.struct("n", (-F.col("key")).alias("k"))).alias("best")).select("group", (-F.col("best.k")).alias("hub"))
     hub_texts = members.join(hubs, "group").where("key = hub").select("group", "hub", F.col("text").alias("hub_text"))
     seen = members.join(hub_texts, "group").select("group", "key", "text", "hub", "hub_text")
-    judged = cut(seen.mapInArrow(_against_hub, "group long, key long, hub long, distance double, links boolean"))
+    judged = cut(seen.mapInArrow(lambda batches: _against_hub(batches, percent), "group long, key long, hub long, distance double, links boolean"))
     star = judged.where("links AND key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
     # those that the hub doesn't link, against all of the group that may be near them
     left = judged.where("NOT links")
     nearest = left.groupBy("group").agg(F.min("distance").alias("least"), F.count("*").alias("asking"))
-    reach = 1 - PERCENT / 100 + 1e-9
+    reach = 1 - percent / 100 + 1e-9
     rest = judged.join(nearest, "group").where(F.col("distance") >= F.col("least") - reach)
     sizes = rest.groupBy("group").agg(F.count("*").alias("rest"))
     texts = members.select("key", "text")
@@ -407,11 +414,11 @@ def _large_groups(members: DataFrame, rows: DataFrame) -> DataFrame:
     asking = left.join(nearest.join(sizes, "group"), "group").select("group", "key", F.pmod(own, many).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("joined"))
     asked = rest.join(sizes, "group").select("group", "key", F.explode(F.sequence(F.lit(0), many - 1)).alias("i"), F.pmod(own, blocks).cast("int").alias("j"), F.lit(False).alias("asks"), F.col("links").alias("joined"))
     parts = asking.unionByName(asked).join(texts, "key").select(F.xxhash64(*block).alias("block"), "asks", "key", "joined", "text")
-    links = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_blocks, "a long, b long")
+    links = parts.repartition("block").sortWithinPartitions("block").mapInArrow(lambda batches: _blocks(batches, percent), "a long, b long")
     return star.unionByName(links)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component, kept) of each row of `docs`."""
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     base = cut(_base(rows))
@@ -419,13 +426,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = base.where("n > 0").groupBy(*digest).agg(F.min("key").alias("first"))
     own = base.join(classes.select(F.col("first").alias("key")), "key", "left_semi").dropDuplicates(["key"]).select("key", "signature")
     own = cut(own)
-    groups = components(candidates(own).select(F.col("leader").alias("a"), F.col("key").alias("b")))
+    groups = components(candidates(own, percent).select(F.col("leader").alias("a"), F.col("key").alias("b")))
     members = cut(groups.join(rows.withColumnRenamed("key", "node"), "node").select(F.col("root").alias("group"), F.col("node").alias("key"), "text").dropDuplicates(["key"]))
     sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     large = sizes.where((F.col("n") > GROUP) | (F.col("bytes") > GROUP_BYTES)).select("group")
     small = members.join(large, "group", "left_anti").select("group", "key", "text")
-    few = small.repartition("group").sortWithinPartitions("group").mapInArrow(_small_groups, "a long, b long")
-    many = _large_groups(members.join(large, "group", "left_semi").select("group", "key", "text"), own)
+    few = small.repartition("group").sortWithinPartitions("group").mapInArrow(lambda batches: _small_groups(batches, percent), "a long, b long")
+    many = _large_groups(members.join(large, "group", "left_semi").select("group", "key", "text"), own, percent)
     roots = components(few.unionByName(many)).withColumnsRenamed({"node": "first"})
     by_class = classes.join(roots, "first", "left").select(*digest, F.coalesce("root", "first").alias("component"))
     found = base.select("key", *digest).join(by_class, digest, "left").withColumn("component", F.coalesce("component", "key"))

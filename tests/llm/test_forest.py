@@ -52,9 +52,20 @@ def test_resembling_splits(monkeypatch):
     rows = np.where(rng.random((400, forest.VALUES)) < 0.5, half, rng.integers(0, 1 << 16, (400, forest.VALUES), dtype=np.uint16))
     rows[:, :4] = half[:4]
     rows[399, :110] = rows[398, :110]
-    find = root_of(forest.resembling(rows, 0, 4))
+    find = root_of(forest.resembling(rows, 0, 4, forest.alike_from(85)))
     assert find(398) == find(399)
 
 
 def test_candidates_empty(spark, led_by_others):
     assert forest.candidates(led_by_others.where(F.lit(False))).count() == 0
+
+
+def test_percent(spark):
+    """A pair at 0.81 is near at 80 percent, as in the pipeline, and not at op10's 85."""
+    import corpus_pipeline
+
+    w = [f"a{k}" for k in range(100)]
+    changed = ["b" if k in (30, 60) else x for k, x in enumerate(w)]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(changed))], "doc_id long, text string")
+    assert {r.key: r.component for r in forest.near_duplicates(docs).collect()} == {1: 1, 2: 2}
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [1]
