@@ -42,8 +42,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: the one of smallest `doc_id`."""
-    kept = forest.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select(F.col("key").alias("_k")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi").select(*docs.columns)
+    return forest.dedup(docs, percent=NEAR_PERCENT)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

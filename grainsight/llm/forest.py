@@ -23,8 +23,8 @@ compared with the rest of the group, block by block, leaving out members that
 the triangle inequality of the Jaccard distance puts out of reach.  No group is
 gathered in one task and none is cut.
 
-Equal sets are one class from the start, represented by their smallest key, so
-copies add no pairs.  All joins are by key, which Spark splits if one is hot.
+Equal sets are one class from the start, represented by the row of smallest key and
+text digest, so copies add no pairs and rows that share a key stay apart.  All joins are by key, which Spark splits if one is hot.
 
 Defined results: a null or empty text, or one without words, has an empty set and
 is its own component; with fewer than five words the whole sequence is the one
@@ -42,7 +42,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -123,7 +123,7 @@ def labels(signature: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    """(key, n, d1, d2, signature): set sizes, digests of the sets and signatures."""
+    """(key, tid, n, d1, d2, signature): set sizes, digests of the sets and signatures; docs: (key, text, tid)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,9 +134,9 @@ def _base(docs: DataFrame) -> DataFrame:
                 raw = signatures(value, first).view(np.uint8).tobytes()
                 width = VALUES * 2
                 signature = pa.Array.from_buffers(pa.binary(width), part.num_rows, [None, pa.py_buffer(raw)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first).astype(np.int64)), pa.array(d1), pa.array(d2), signature], ["key", "n", "d1", "d2", "signature"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(first).astype(np.int64)), pa.array(d1), pa.array(d2), signature], ["key", "tid", "n", "d1", "d2", "signature"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, n long, d1 long, d2 long, signature binary")
+    return docs.select("key", "text", "tid").mapInArrow(run, "key long, tid long, n long, d1 long, d2 long, signature binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -418,22 +418,44 @@ def _large_groups(members: DataFrame, rows: DataFrame, percent: int) -> DataFram
     return star.unionByName(links)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(key, n_shingles, component, kept) of each row of `docs`."""
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = cut(_base(rows))
-    digest = ["n", "d1", "d2"]
-    classes = base.where("n > 0").groupBy(*digest).agg(F.min("key").alias("first"))
-    own = base.join(classes.select(F.col("first").alias("key")), "key", "left_semi").dropDuplicates(["key"]).select("key", "signature")
-    own = cut(own)
+def row_key(key: str, text: str) -> tuple[Column, Column]:
+    """(key, digest of the text): what rows are told apart by, as keys may repeat or be null."""
+    return F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _found(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """(key, tid, n, least) of each row; least: the (key, tid) that comes first in its component."""
+    row, digest = row_key(key, text)
+    rows = docs.select(row.alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), digest.alias("tid"))
+    base = cut(_base(rows).withColumn("class", F.xxhash64("n", "d1", "d2")).drop("d1", "d2"))
+    full = base.where("n > 0")
+    classes = full.groupBy("class").agg(F.min(F.struct("key", "tid")).alias("first"))
+    own = cut(full.dropDuplicates(["class"]).select(F.col("class").alias("key"), "signature"))
     groups = components(candidates(own, percent).select(F.col("leader").alias("a"), F.col("key").alias("b")))
-    members = cut(groups.join(rows.withColumnRenamed("key", "node"), "node").select(F.col("root").alias("group"), F.col("node").alias("key"), "text").dropDuplicates(["key"]))
+    firsts = groups.join(classes.withColumnRenamed("class", "node"), "node").select("node", "root", "first.key", "first.tid")
+    members = cut(firsts.join(rows, ["key", "tid"]).select(F.col("root").alias("group"), F.col("node").alias("key"), "text").dropDuplicates(["key"]))
     sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     large = sizes.where((F.col("n") > GROUP) | (F.col("bytes") > GROUP_BYTES)).select("group")
     small = members.join(large, "group", "left_anti").select("group", "key", "text")
     few = small.repartition("group").sortWithinPartitions("group").mapInArrow(lambda batches: _small_groups(batches, percent), "a long, b long")
     many = _large_groups(members.join(large, "group", "left_semi").select("group", "key", "text"), own, percent)
-    roots = components(few.unionByName(many)).withColumnsRenamed({"node": "first"})
-    by_class = classes.join(roots, "first", "left").select(*digest, F.coalesce("root", "first").alias("component"))
-    found = base.select("key", *digest).join(by_class, digest, "left").withColumn("component", F.coalesce("component", "key"))
+    roots = components(few.unionByName(many)).withColumnsRenamed({"node": "class"})
+    by_class = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    least = by_class.groupBy("root").agg(F.min("first").alias("least"))
+    by_class = by_class.join(least, "root").select("class", "least")
+    # empty sets have no class
+    found = base.select("key", "tid", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(by_class, "class", "left")
+    return found.select("key", "tid", "n", F.coalesce("least", F.struct("key", "tid")).alias("least"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(key, n_shingles, component, kept) of each row of `docs`."""
+    found = _found(docs, key, text, percent).select("key", "n", F.col("least.key").alias("component"))
     return found.select(F.nullif("key", F.lit(LAST_KEY)).alias("key"), F.col("n").alias("n_shingles"), F.nullif("component", F.lit(LAST_KEY)).alias("component"), (F.col("key") == F.col("component")).alias("kept"))
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """`docs` without those that aren't the first of their component; rows equal in key and text count as one."""
+    kept = _found(docs, key, text, percent).where(F.struct("key", "tid") == F.col("least")).select(F.col("key").alias("_k"), F.col("tid").alias("_t")).distinct()
+    row, digest = row_key(key, text)
+    return docs.join(kept, (row == F.col("_k")) & (digest == F.col("_t")), "left_semi").select(*docs.columns)

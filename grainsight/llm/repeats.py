@@ -398,10 +398,10 @@ def _spans(docs: DataFrame, window: int) -> DataFrame:
     """docs (key, text, tid) with copy (an equal text has a smaller key) and spans (repeated words)."""
     size = docs.select(F.sum(F.octet_length("text"))).head()[0] or 0
     shares = 1 << max(3, (size // SHARE).bit_length())
-    digest = docs.where(F.octet_length("text") > 0).select("key", F.unhex(F.md5("text")).alias("digest"))
+    digest = docs.where(F.octet_length("text") > 0).select("key", "tid", F.unhex(F.md5("text")).alias("digest"))
     first = digest.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = digest.join(first, "digest").where("key > first").select("key", F.lit(True).alias("copy")).distinct()
-    marked = docs.join(copies, "key", "left").select("key", "text", "tid", F.coalesce("copy", F.lit(False)).alias("copy"))
+    copies = digest.join(first, "digest").where("key > first").select("key", "tid", F.lit(True).alias("copy")).distinct()
+    marked = docs.join(copies, ["key", "tid"], "left").select("key", "text", "tid", F.coalesce("copy", F.lit(False)).alias("copy"))
     # the same columns as below, so that the plan shuffles the texts once and reads that exchange three times
     single = marked.where("NOT copy").select("key", "text", "tid")
     entries = single.mapInArrow(_send_anchors(shares, window), "place int, h binary, key binary, multi binary")

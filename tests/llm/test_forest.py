@@ -69,3 +69,15 @@ def test_percent(spark):
     docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(changed))], "doc_id long, text string")
     assert {r.key: r.component for r in forest.near_duplicates(docs).collect()} == {1: 1, 2: 2}
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [1]
+
+
+def test_repeated_keys(spark):
+    """Rows of one key, null or not, have components of their own texts."""
+    import corpus_pipeline
+
+    texts = [" ".join(f"t{i}x{k}" for k in range(40)) for i in range(4)]
+    rows = [(5, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (8, texts[0]), (8, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.component or 0 for r in forest.near_duplicates(docs).collect()) == [0, 0, 5, 5, 5, 8]
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert got == {(5, texts[0]), (None, texts[1]), (None, texts[2]), (8, texts[3])}

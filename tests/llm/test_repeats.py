@@ -12,8 +12,8 @@ def own(i, n):
 def test_frequent(spark, monkeypatch):
     """A phrase above the bound takes one route, also from tasks that hold none of its slices' first documents."""
     monkeypatch.setattr(repeats, "FREQUENT", 1)
-    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "32"}
-    before = {k: spark.conf.get(k) for k in conf}
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k, "true") for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
     try:
@@ -24,3 +24,11 @@ def test_frequent(spark, monkeypatch):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert got == {i: 30 if i else 0 for i in range(60)}
+
+
+def test_copies_of_repeated_keys(spark):
+    """A row that equals an earlier document marks no other row of its key."""
+    one, two, three = own(1, 40), own(2, 40), own(3, 40)
+    rows = [(1, one), (None, one), (None, two), (7, one), (7, three)]
+    got = sorted(r.text for r in repeats.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([one, two, three])
