@@ -63,7 +63,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can't express the mixture model of the first stage; tests hold the stages against brute force.
+#: SQL can't express the mixture model of the first stage; tests cover near-dedup on planted rows, and no brute-force version checks the whole pipeline.
 ORACLE_SQL = None
 
 
