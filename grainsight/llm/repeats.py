@@ -394,6 +394,15 @@ def _texts(window: int, names: list[str]):
     return run
 
 
+def _anchor_hits(single: DataFrame, shares: int, window: int) -> DataFrame:
+    """(key, h, frequent): the documents of each anchor that recurs."""
+    entries = single.mapInArrow(_send_anchors(shares, window), "place int, h binary, key binary, multi binary")
+    hits = entries.repartition("place").sortWithinPartitions("place").mapInArrow(_recurring(FREQUENT), "key long, h long, frequent boolean")
+    # a phrase is frequent for all its documents, also for those that came back without its count; each has over FREQUENT entries, so they are few
+    frequent = hits.where("frequent").select("h").distinct().withColumn("often", F.lit(True))
+    return hits.select("key", "h").join(F.broadcast(frequent), "h", "left").select("key", "h", F.coalesce("often", F.lit(False)).alias("frequent"))
+
+
 def _spans(docs: DataFrame, window: int) -> DataFrame:
     """docs (key, text, tid) with copy (an equal text has a smaller key) and spans (repeated words)."""
     size = docs.select(F.sum(F.octet_length("text"))).head()[0] or 0
@@ -404,11 +413,7 @@ def _spans(docs: DataFrame, window: int) -> DataFrame:
     marked = docs.join(copies, ["key", "tid"], "left").select("key", "text", "tid", F.coalesce("copy", F.lit(False)).alias("copy"))
     # the same columns as below, so that the plan shuffles the texts once and reads that exchange three times
     single = marked.where("NOT copy").select("key", "text", "tid")
-    entries = single.mapInArrow(_send_anchors(shares, window), "place int, h binary, key binary, multi binary")
-    hits = entries.repartition("place").sortWithinPartitions("place").mapInArrow(_recurring(FREQUENT), "key long, h long, frequent boolean")
-    # a phrase is frequent for all its documents, also for those that came back without its count; each has over FREQUENT entries, so they are few
-    frequent = hits.where("frequent").select("h").distinct().withColumn("often", F.lit(True))
-    hits = hits.select("key", "h").join(F.broadcast(frequent), "h", "left").select("key", "h", F.coalesce("often", F.lit(False)).alias("frequent"))
+    hits = _anchor_hits(single, shares, window)
     asked = hits.groupBy("key").agg(F.collect_list(F.struct("h", "frequent")).alias("hits"))
     sent = marked.where("NOT copy").join(asked, "key").select("key", "text", "tid", "hits").mapInArrow(_passages(shares, window), "shard int, key long, tid long, start int, size int, words binary")
     found = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(_locate(window), "key long, tid long, start int, size int")

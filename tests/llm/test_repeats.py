@@ -32,3 +32,12 @@ def test_copies_of_repeated_keys(spark):
     rows = [(1, one), (None, one), (None, two), (7, one), (7, three)]
     got = sorted(r.text for r in repeats.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == sorted([one, two, three])
+
+
+def test_frequent_once(spark, monkeypatch):
+    """All hits of an anchor agree on whether it is frequent."""
+    monkeypatch.setattr(repeats, "FREQUENT", 1)
+    rows = [(i, f"{own(i, 20)} {PASSAGE}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(3, "doc_id")
+    hits = repeats._anchor_hits(repeats._keyed(docs, "doc_id", "text"), 8, 13).collect()
+    assert hits and all(r.frequent for r in hits)
