@@ -6,14 +6,16 @@ classes by their endings, and a word's share of its class comes from its exact
 count, with one part left for unknown words.  So a state's emissions have a fixed
 size whatever the vocabulary, and sum to one.
 
-Training: word counts cover all training texts.  Baum-Welch starts from a few
-rounds over a bounded sample (`WARM_TEXTS`, `WARM_BYTES`), then runs `ROUNDS` full
-rounds in which every partition sends its expected counts, of fixed size, to be
-added up.  Training sequences are stretches of at most `STRETCH` tokens.
-
-Scoring is exact over whole texts: the scaled forward recursion gives each stretch
-of a text a matrix from the state before it to the state at its end, all stretches
-in lockstep, and a text's likelihood is the product of its stretches' matrices.
+Training: word counts cover all training texts.  Baum-Welch runs over all of them
+in every partition, which sends its expected counts, of fixed size, to be added up:
+first `PASSES` passes in `FOLDS` steps each, every step over the texts of one fold
+with the parameters that the one before left, then `ROUNDS` rounds over all texts.
+No text is left out and the number of steps doesn't depend on the corpus.
+
+Texts of any length count whole.  They are worked on in stretches of `STRETCH`
+tokens, all in lockstep: a scaled product of each stretch's matrices, from the state
+before it to the state at its end, carries the forward and backward messages across
+the stretches of a text, so counts and likelihoods are those of the whole sequence.
 Words beyond the broadcast table of frequent ones (`FREQUENT`, a fixed bound) meet
 their counts in a join.
 
@@ -38,13 +40,12 @@ from .common import VECTOR_SCHEMA, cut, sum_vectors, vector_rows
 from .textcols import Words, mix, slices
 
 STATES = 8
+FOLDS = 4
+PASSES = 3
 ROUNDS = 2
-WARM_ROUNDS = 25
-WARM_TEXTS = 1500
-WARM_BYTES = 6_000_000
 #: Bytes of text that a task works on at once.
 SLICE = 2 << 20
-STRETCH = 256
+STRETCH = 512
 #: Words whose counts every task holds, at most.
 FREQUENT = 1 << 18
 #: Words that are classes of their own, at most.
@@ -129,10 +130,9 @@ class Vocabulary:
 
 @dataclass
 class Parameters:
-    """start and mid: state distribution of a text's first and its other stretches; move: states x states; emit: states x classes."""
+    """start: state distribution of a text's first token; move: states x states; emit: states x classes."""
 
     start: np.ndarray
-    mid: np.ndarray
     move: np.ndarray
     emit: np.ndarray
 
@@ -234,42 +234,109 @@ class Tokens:
         return start, np.minimum(STRETCH, self.first[text + 1] - start), text
 
 
+class Lanes:
+    """A slice's stretches, longest first, for recursions in lockstep."""
+
+    def __init__(self, tokens: Tokens):
+        start, length, text = tokens.stretches()
+        order = np.argsort(-length, kind="stable")
+        self.start, self.length, self.text = start[order], length[order], text[order]
+        self.first = self.start == tokens.first[self.text]
+        self.last = self.start + self.length == tokens.first[self.text + 1]
+        self.steps = int(self.length[0]) if len(order) else 0
+        self.live = np.searchsorted(-self.length, -np.arange(1, self.steps + 1), side="right")
+        self.number = (self.start - tokens.first[self.text]) // STRETCH
+        # lane of each text's k-th stretch, text by text
+        self.lane = np.argsort(order, kind="stable")
+        self.of_text = np.searchsorted(text, np.arange(len(tokens.size) + 1))
+        self.tokens = tokens
+
+    def classes(self, t: int) -> np.ndarray:
+        """Classes of the t-th tokens of all stretches that are so long."""
+        return self.tokens.classes[self.start[: self.live[t]] + t]
+
+    def products(self, p: Parameters, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(matrix, logarithm of its scale) of the stretches `which`: from the state before to the state at the end; a text's first starts in no move."""
+        s, emit = len(p.start), np.ascontiguousarray(p.emit.T)
+        lanes = np.flatnonzero(which)
+        whole, log = np.zeros((len(self.start), s, s)), np.zeros(len(self.start))
+        start, length, first = self.start[lanes], self.length[lanes], self.first[lanes]
+        m = np.broadcast_to(np.eye(s), (len(lanes), s, s)).copy()
+        for t in range(int(length[0]) if len(lanes) else 0):
+            n = int(np.searchsorted(-length, -t, side="left"))  # longer than t
+            if n < len(m):
+                whole[lanes[n : len(m)]] = m[n:]
+                m = m[:n]
+            m = (m.reshape(-1, s) @ p.move).reshape(n, s, s) if t else np.where(first[:n, None, None], m, p.move)
+            m *= emit[self.tokens.classes[start[:n] + t]][:, None, :]
+            if t % 8 == 7 or t == length[0] - 1:
+                top = m.max((1, 2))
+                m /= top[:, None, None]
+                log[lanes[:n]] += np.log(top)
+        whole[lanes[: len(m)]] = m
+        return whole, log
+
+    def rounds(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(lanes, texts) of all texts' k-th stretches, for k from 0 on."""
+        for k in range(int(self.number.max()) + 1 if len(self.number) else 0):
+            text = np.flatnonzero(np.diff(self.of_text) > k)
+            yield self.lane[self.of_text[text] + k], text
+
+
 def expected_counts(tokens: Tokens, p: Parameters) -> dict[str, np.ndarray]:
-    """Baum-Welch counts of one slice: forward and backward over all stretches in lockstep."""
-    start, length, text = tokens.stretches()
-    order = np.argsort(-length, kind="stable")
-    start, length, text = start[order], length[order], text[order]
-    first = start == tokens.first[text]
-    lanes, steps, s = len(start), int(length[0]), len(p.start)
+    """Baum-Welch counts of one slice: forward and backward over whole texts, all stretches in lockstep."""
+    lanes, s = Lanes(tokens), len(p.start)
     emit = np.ascontiguousarray(p.emit.T)
-    live = np.searchsorted(-length, -np.arange(1, steps + 1), side="right")
-    alpha, seen = [], []
-    a = np.where(first[:, None], p.start, p.mid)
-    for t in range(steps):
-        n = live[t]
-        c = tokens.classes[start[:n] + t]
+    # messages across stretches, for texts that have several
+    before, after = np.zeros((len(lanes.start), s)), np.ones((len(lanes.start), s))
+    if not lanes.last.all():
+        whole, _ = lanes.products(p, ~(lanes.first & lanes.last))
+        rounds = list(lanes.rounds())
+        state = np.broadcast_to(p.start, (len(tokens.size), s)).copy()
+        for at, text in rounds:
+            before[at] = state[text]
+            some = ~lanes.last[at] | ~lanes.first[at]
+            a = (state[text[some]][:, None, :] @ whole[at[some]])[:, 0, :]
+            state[text[some]] = a / a.sum(1, keepdims=True)
+        state = np.ones((len(tokens.size), s))
+        for at, text in rounds[:0:-1]:
+            after[at] = state[text]
+            b = (whole[at] @ state[text][:, :, None])[:, :, 0]
+            state[text] = b / b.sum(1, keepdims=True)
+        at, text = rounds[0]
+        after[at] = state[text]
+    alpha, seen, a = [], [], None
+    for t in range(lanes.steps):
+        n, c = lanes.live[t], lanes.classes(t)
         e = emit[c]
-        a = a[:n] * e if t == 0 else (a[:n] @ p.move) * e
+        a = np.where(lanes.first[:, None], p.start, before @ p.move) * e if t == 0 else (a[:n] @ p.move) * e
         a /= a.sum(1, keepdims=True)
         alpha.append(a)
         seen.append((c, e))
-    counts = np.zeros((s, CLASSES))
-    move = np.zeros((s, s))
-    beta = np.ones((lanes, s))
-    for t in range(steps - 1, -1, -1):
-        n = live[t]
-        if t + 1 < steps and live[t + 1]:
-            m = live[t + 1]
+    counts, move = np.zeros((s, CLASSES)), np.zeros((s, s))
+    beta = after
+    for t in range(lanes.steps - 1, -1, -1):
+        n = lanes.live[t]
+        if t + 1 < lanes.steps and lanes.live[t + 1]:
+            m = lanes.live[t + 1]
             be = beta[:m] * seen[t + 1][1]
-            pair_norm = 1.0 / ((alpha[t][:m] @ p.move) * be).sum(1)
-            move += (alpha[t][:m] * pair_norm[:, None]).T @ be
+            move += _moves(alpha[t][:m], be, p)
             beta[:m] = be @ p.move.T
             beta[:m] /= beta[:m].sum(1, keepdims=True)
         g = alpha[t] * beta[:n]
         g /= g.sum(1, keepdims=True)
         for k in range(s):
             counts[k] += np.bincount(seen[t][0], g[:, k], CLASSES)
-    return {"start": g[first].sum(0), "mid": g[~first].sum(0), "move": (move * p.move).ravel(), "emit": counts.ravel()}
+    if lanes.steps and not lanes.first.all():  # the moves between stretches
+        later = ~lanes.first
+        move += _moves(before[later], (beta * seen[0][1])[later], p)
+    return {"start": g[lanes.first].sum(0) if lanes.steps else np.zeros(s), "move": (move * p.move).ravel(), "emit": counts.ravel()}
+
+
+def _moves(alpha: np.ndarray, be: np.ndarray, p: Parameters) -> np.ndarray:
+    """Expected moves from states `alpha` to states weighed by `be`, but for the factor of the move itself."""
+    norm = 1.0 / ((alpha @ p.move) * be).sum(1)
+    return (alpha * norm[:, None]).T @ be
 
 
 def _added(total: dict[str, np.ndarray], more: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -282,92 +349,53 @@ def maximise(counts: dict[str, np.ndarray], mass: np.ndarray) -> Parameters:
     common = (mass + 1) / (mass.sum() + len(mass))
     emit = counts["emit"].reshape(s, -1) + PRIOR * common
     move = counts["move"].reshape(s, s) + 1.0
-    start, mid = counts["start"] + 0.1, counts["mid"] + 0.1
-    return Parameters(start / start.sum(), mid / mid.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+    start = counts["start"] + 0.1
+    return Parameters(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
 def first_guess(mass: np.ndarray, states: int) -> Parameters:
     noise = np.random.default_rng(7).gamma(2.0, 0.5, (states, len(mass)))
     emit = noise * (mass + 1)
     move = np.full((states, states), 0.3 / states) + 0.7 * np.eye(states)
-    even = np.full(states, 1 / states)
-    return Parameters(even, even, move, emit / emit.sum(1, keepdims=True))
+    return Parameters(np.full(states, 1 / states), move, emit / emit.sum(1, keepdims=True))
 
 
-def train(docs: DataFrame, v: Vocabulary, states: int = STATES, rounds: int = ROUNDS) -> Parameters:
-    """Baum-Welch: warm start on a bounded sample, then rounds over all texts."""
+def train(docs: DataFrame, v: Vocabulary, states: int = STATES, passes: int = PASSES, rounds: int = ROUNDS) -> Parameters:
+    """Baum-Welch over all texts: passes fold by fold, then rounds over all at once; docs: (id, text)."""
     p = first_guess(v.mass, states)
     if not v.texts:
         return p
-    drawn = docs.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(WARM_TEXTS)
-    short = docs.where(F.length("text") <= WARM_BYTES // WARM_TEXTS * 5)
-    sample = [r["text"] for r in sorted(short.join(F.broadcast(drawn), "id").select("id", "text").collect())]
-    size, kept = 0, []
-    for t in sample:
-        size += len(t.encode())
-        if size > WARM_BYTES:
-            break
-        kept.append(t)
-    if kept:
-        tokens = Tokens(pa.array(kept, pa.string()), v)
-        for _ in range(WARM_ROUNDS):
-            p = maximise(expected_counts(tokens, p), v.mass)
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(v)
-    for _ in range(rounds):
+    part = F.pmod(F.xxhash64("text"), F.lit(FOLDS))
+    for step in [*(k for _ in range(passes) for k in range(FOLDS)), *[None] * rounds]:
         now = sc.broadcast(p)
 
         def run(batches: Iterable[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             total: dict[str, np.ndarray] = {}
             for batch in batches:
-                for part in slices(batch, "text", SLICE):
-                    total = _added(total, expected_counts(Tokens(part.column(1), shared.value), now.value))
+                for piece in slices(batch, "text", SLICE):
+                    total = _added(total, expected_counts(Tokens(piece.column(0), shared.value), now.value))
             yield from vector_rows(total)
 
-        counts = sum_vectors(docs.mapInArrow(run, VECTOR_SCHEMA))
+        chosen = docs if step is None else docs.where(part == step)
+        counts = sum_vectors(chosen.select("text").mapInArrow(run, VECTOR_SCHEMA))
         p = maximise(counts, v.mass) if counts else p
+        now.unpersist()
     return p
 
 
 def log10_likelihood(tokens: Tokens, p: Parameters) -> np.ndarray:
     """log10 of the chance of each text's class sequence, by scaled forward recursion."""
-    start, length, text = tokens.stretches()
-    order = np.argsort(-length, kind="stable")
-    s = len(p.start)
-    emit = np.ascontiguousarray(p.emit.T)
-    sorted_start, sorted_length = start[order], length[order]
-    steps = int(sorted_length[0])
-    live = np.searchsorted(-sorted_length, -np.arange(1, steps + 1), side="right")
-    whole = np.zeros((len(start), s, s))
-    log = np.zeros(len(start))
-    m = np.broadcast_to(np.eye(s), (len(start), s, s)).copy()
-    inner = sorted_start == tokens.first[text[order]]  # a text's first stretch starts in the start distribution, not by a move
-    for t in range(steps):
-        n = live[t]
-        if n < len(m):
-            whole[order[n : len(m)]] = m[n:]
-            m = m[:n]
-        e = emit[tokens.classes[sorted_start[:n] + t]]
-        if t:
-            m = (m.reshape(-1, s) @ p.move).reshape(n, s, s)
-        else:
-            m = np.where(inner[:, None, None], m, p.move)
-        m *= e[:, None, :]
-        if t % 8 == 7 or t == steps - 1:
-            top = m.max((1, 2))
-            m /= top[:, None, None]
-            log[order[:n]] += np.log(top)
-    whole[order[: len(m)]] = m
-    # a text's stretches one after the other
+    lanes = Lanes(tokens)
+    whole, log = lanes.products(p, np.ones(len(lanes.start), bool))
     out = np.zeros(len(tokens.size))
-    number = np.arange(len(text)) - np.searchsorted(text, text)
-    state = np.broadcast_to(p.start, (len(out), s)).copy()
-    for k in range(int(number.max()) + 1 if len(number) else 0):
-        at = np.flatnonzero(number == k)
-        a = (state[text[at]][:, None, :] @ whole[at])[:, 0, :]
+    state = np.broadcast_to(p.start, (len(out), len(p.start))).copy()
+    for at, text in lanes.rounds():
+        a = (state[text][:, None, :] @ whole[at])[:, 0, :]
         total = a.sum(1)
-        state[text[at]] = a / total[:, None]
-        out[text[at]] += np.log(total) + log[at]
+        state[text] = a / total[:, None]
+        out[text] += np.log(total) + log[at]
     return out / math.log(10)
 
 
