@@ -3,17 +3,18 @@
 Documents are linked if their sets of five-word shingles have a Jaccard
 similarity of at least `percent` / 100, `PERCENT` if not told; a component is what links reach.
 
-Each document's signature is read in `TREES` orders, each starting at another
-place.  Documents whose labels share a prefix in one of those orders form a region;
-its first document is the leader, with which members that resemble it are
-candidates.  Regions start at `DEPTH` values.  Where a member doesn't resemble its
-leader, the whole region goes on, alike members too: up to `PAIRS` members are
-compared each with each, and a larger region is split by the next value of its
-order, until it is small enough or all members resemble the leader, at most to the
-end of the signature.  A pair at the threshold shares a prefix of `DEPTH` with a
-chance of 52 % in each of 32 orders, and so misses all of them once in 2e10; among
-so many half-alike documents that regions end at 8 values it does once in 24,000,
-and at 12 values once in 120.
+The forest has `TREES` orders of the signatures, each starting at another value and
+sorted by it and those that follow.  Documents that stand together in an order and
+share its first `DEPTH` values form a region; its first document is the leader, with
+which members that resemble it are candidates.  Where a member doesn't resemble its
+leader, the whole region goes on, alike members too, to a depth of its own: its
+members are sorted by the whole order, neighbours with the longest common prefix are
+candidates, up to `PAIRS` members are compared each with each, and a larger region
+is cut where the common prefix of neighbours is shortest, until its parts are small
+enough or alike, at most to the end of the signature.  A pair at the threshold shares
+a prefix of `DEPTH` with a chance of 52 % in each of 32 orders, and so misses all of
+them once in 2e10; among so many half-alike documents that regions end at 8 values
+it does once in 24,000, and at 12 values once in 120, unless it stands side by side.
 
 Candidates form groups, in which links are confirmed on the full sets: small
 groups all at once, in one task each.  In a large group, each member is first
@@ -61,6 +62,8 @@ REGION = 4096
 #: A group of more members or bytes is compared by hub and blocks.
 GROUP = 256
 GROUP_BYTES = 16 << 20
+#: Parts that a group's rows are dealt to before its size is known.
+SALTS = 64
 LAST_KEY = (1 << 63) - 1
 
 _rng = np.random.default_rng(20240501)
@@ -111,15 +114,13 @@ def _of_order(key: np.ndarray, order: np.ndarray | int) -> np.ndarray:
     return key & ~np.uint64(TREES - 1) | np.uint64(order)
 
 
-def labels(signature: np.ndarray, depth: int) -> np.ndarray:
-    """texts x TREES: 64-bit keys of the first `depth` values of each order; the low bits tell the order."""
+def labels(signature: np.ndarray) -> np.ndarray:
+    """texts x TREES: the first `DEPTH` values of each order, 14 bits each, so that labels sort as the orders do; the low bits tell the order."""
     out = np.zeros((len(signature), TREES), np.uint64)
     for t in range(TREES):
-        key = np.full(len(signature), t + 1, np.uint64)
-        for k in range(depth):
-            key = mix(key * np.uint64(31) + signature[:, (t * DEPTH + k) % VALUES].astype(np.uint64))
-        out[:, t] = _of_order(key, t)
-    return out
+        for k in range(DEPTH):
+            out[:, t] = out[:, t] << np.uint64(14) | signature[:, (t * DEPTH + k) % VALUES].astype(np.uint64) >> np.uint64(2)
+    return out << np.uint64(5) | np.arange(TREES, dtype=np.uint64)
 
 
 def _base(docs: DataFrame) -> DataFrame:
@@ -143,13 +144,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, VALUES)
 
 
-def _regions(rows: DataFrame, depth: int) -> DataFrame:
+def _regions(rows: DataFrame) -> DataFrame:
     """(label, key): a row for each order."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = labels(_matrix(batch.column(1)), depth).view(np.int64)
+                found = labels(_matrix(batch.column(1))).view(np.int64)
                 keys = batch.column(0).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(keys, TREES))], ["label", "key"])
 
@@ -185,23 +186,46 @@ def _alike(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     return both.select("leader", "key", "regions", "s1", "s2").mapInArrow(run, "leader long, key long, regions array<struct<label:long,members:long>>, alike boolean")
 
 
+def common_prefix(ordered: np.ndarray) -> np.ndarray:
+    """How many values each row of a sorted order shares with the one before; 0 for the first."""
+    if not len(ordered):
+        return np.zeros(0, np.int64)
+    same = ordered[1:] == ordered[:-1]
+    return np.append(0, np.where(same.all(1), ordered.shape[1], np.argmin(same, 1)))
+
+
 def resembling(signature: np.ndarray, order: int, depth: int, least: float) -> Iterator[tuple[int, int]]:
-    """(a, b) that connect members of a region of `depth` values that resemble each other."""
-    todo = [(np.arange(len(signature)), depth)]
+    """(a, b) that connect members of a region of `depth` values that resemble each other.
+
+    Members are sorted by the order; neighbours there, which have the longest common
+    prefixes, are compared at once, and parts of the order that share ever longer
+    prefixes until they are small or alike.
+    """
+    turned = np.roll(signature, -order * DEPTH, 1)
+    by = np.lexsort(turned.T[::-1])
+    ordered = turned[by]
+    prefix = common_prefix(ordered)
+    near = np.flatnonzero((ordered[1:] == ordered[:-1]).mean(1) >= least)
+    yield from zip(by[near].tolist(), by[near + 1].tolist(), strict=True)
+    todo = [(0, len(by), depth)]
     while todo:
-        of, depth = todo.pop()
-        alike = (signature[of] == signature[of[0]]).mean(1) >= least
+        low, high, depth = todo.pop()
+        part, of = ordered[low:high], by[low:high]
+        first = int(np.argmin(of))
+        alike = (part == part[first]).mean(1) >= least
         if alike.all():
-            yield from ((int(of[0]), int(b)) for b in of[1:])
-        elif len(of) <= PAIRS:
-            links = np.stack([(signature[of] == signature[a]).mean(1) >= least for a in of])
+            yield from ((int(of[first]), int(b)) for b in np.delete(of, first))
+        elif high - low <= PAIRS:
+            links = np.stack([(part == row).mean(1) >= least for row in part])
             yield from ((int(of[a]), int(of[b])) for b, a in enumerate(_roots(links)) if a != b)
         else:
-            yield from ((int(of[0]), int(b)) for b in of[1:][alike[1:]])
-            value = signature[of, (order * DEPTH + depth) % VALUES]
-            by = np.argsort(value, kind="stable")
-            parts = np.split(of[by], np.flatnonzero(np.diff(value[by])) + 1)
-            todo += [(part, depth + 1) for part in parts if len(part) > 1]
+            yield from ((int(of[first]), int(b)) for b in of[alike] if b != of[first])
+            # the next depth at which the part isn't one any more
+            inner = prefix[low + 1 : high]
+            depth = max(depth + 1, int(inner.min()) + 1)
+            cuts = low + 1 + np.flatnonzero(inner < depth)
+            edges = [low, *cuts.tolist(), high]
+            todo += [(a, b, depth) for a, b in zip(edges, edges[1:], strict=False) if b - a > 1]
 
 
 def _descend(depth: int, least: float):
@@ -231,7 +255,7 @@ def _descend(depth: int, least: float):
 
 def candidates(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(leader, key): pairs of documents of one region that resemble each other."""
-    regions, depth, found = _regions(rows, DEPTH), DEPTH, []
+    regions, depth, found = _regions(rows), DEPTH, []
     least = alike_from(percent)
     while True:
         leaders = regions.groupBy("label").agg(F.min("key").alias("leader"), F.count("*").alias("members")).where("members > 1")
@@ -390,31 +414,46 @@ def _blocks(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     yield _edge_batch(flush())
 
 
+def _spread(group: DataFrame, parts: Column) -> DataFrame:
+    """Rows of groups, one for each part that their members are dealt to."""
+    return group.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+
+
 def _large_groups(members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect the components of large groups; members: (group, key, text)."""
-    regions = _regions(members.select("key").join(rows, "key"), DEPTH).join(members.select("group", "key"), "key")
+    """Links (a, b) that connect the components of large groups; members: (group, key, text).
+
+    Members are dealt to parts of about `GROUP`, with which what belongs to the whole
+    group is joined, so a group's size shows in the number of its parts only.
+    """
+    counts = members.groupBy("group").agg(F.count("*").alias("members"))
+    salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    at = members.select("group", "key", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["group", "salt"])
+    dealt = cut(at.select("group", "key", F.pmod(F.xxhash64("key"), F.ceil(F.col("members") / GROUP)).cast("int").alias("part")))
+    regions = _regions(members.select("key").join(rows, "key")).join(dealt.select("group", "key"), "key")
     weight = regions.groupBy("group", "label").agg(F.count("*").alias("n")).where("n > 1")
     dense = regions.join(weight, ["group", "label"]).groupBy("group", "key").agg(F.sum("n").alias("n"))
-    hubs = dense.groupBy("group").agg(F.max(F.struct("n", (-F.col("key")).alias("k"))).alias("best")).select("group", (-F.col("best.k")).alias("hub"))
-    hub_texts = members.join(hubs, "group").where("key = hub").select("group", "hub", F.col("text").alias("hub_text"))
-    seen = members.join(hub_texts, "group").select("group", "key", "text", "hub", "hub_text")
+    hubs = dense.groupBy("group").agg(F.max(F.struct("n", (-F.col("key")).alias("k"))).alias("best")).select("group", (-F.col("best.k")).alias("hub")).join(counts, "group")
+    hub_texts = hubs.join(members.select(F.col("key").alias("hub"), F.col("text").alias("hub_text")), "hub")
+    parts = F.ceil(F.col("members") / GROUP).cast("int")
+    seen = members.select("key", "text").join(dealt, "key").join(_spread(hub_texts, parts).drop("members"), ["group", "part"]).select("group", "key", "text", "hub", "hub_text")
     judged = cut(seen.mapInArrow(lambda batches: _against_hub(batches, percent), "group long, key long, hub long, distance double, links boolean"))
     star = judged.where("links AND key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
     # those that the hub doesn't link, against all of the group that may be near them
-    left = judged.where("NOT links")
-    nearest = left.groupBy("group").agg(F.min("distance").alias("least"), F.count("*").alias("asking"))
     reach = 1 - percent / 100 + 1e-9
-    rest = judged.join(nearest, "group").where(F.col("distance") >= F.col("least") - reach)
-    sizes = rest.groupBy("group").agg(F.count("*").alias("rest"))
+    nearest = judged.where("NOT links").groupBy("group").agg(F.min("distance").alias("least"), F.count("*").alias("asking"))
+    placed = judged.join(dealt, ["group", "key"])
+    rest = placed.join(_spread(nearest.join(counts, "group"), parts).drop("members"), ["group", "part"]).where(F.col("distance") >= F.col("least") - reach)
+    sizes = nearest.join(rest.groupBy("group").agg(F.count("*").alias("rest")), "group").join(counts, "group")
     texts = members.select("key", "text")
     many = F.ceil(F.col("asking") / GROUP).cast("int")
     blocks = F.ceil(F.col("rest") / GROUP).cast("int")
     own = F.xxhash64("key")
     block = [F.col("group"), F.col("i"), F.col("j")]
-    asking = left.join(nearest.join(sizes, "group"), "group").select("group", "key", F.pmod(own, many).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("joined"))
-    asked = rest.join(sizes, "group").select("group", "key", F.explode(F.sequence(F.lit(0), many - 1)).alias("i"), F.pmod(own, blocks).cast("int").alias("j"), F.lit(False).alias("asks"), F.col("links").alias("joined"))
-    parts = asking.unionByName(asked).join(texts, "key").select(F.xxhash64(*block).alias("block"), "asks", "key", "joined", "text")
-    links = parts.repartition("block").sortWithinPartitions("block").mapInArrow(lambda batches: _blocks(batches, percent), "a long, b long")
+    known = cut(rest.select("group", "part", "key", "links").join(_spread(sizes, parts).select("group", "part", "asking", "rest"), ["group", "part"]))
+    asking = known.where("NOT links").select("group", "key", F.pmod(own, many).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("joined"))
+    asked = known.select("group", "key", F.explode(F.sequence(F.lit(0), many - 1)).alias("i"), F.pmod(own, blocks).cast("int").alias("j"), F.lit(False).alias("asks"), F.col("links").alias("joined"))
+    both = asking.unionByName(asked).join(texts, "key").select(F.xxhash64(*block).alias("block"), "asks", "key", "joined", "text")
+    links = both.repartition("block").sortWithinPartitions("block").mapInArrow(lambda batches: _blocks(batches, percent), "a long, b long")
     return star.unionByName(links)
 
 

@@ -81,3 +81,67 @@ def test_repeated_keys(spark):
     assert sorted(r.component or 0 for r in forest.near_duplicates(docs).collect()) == [0, 0, 5, 5, 5, 8]
     got = {(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert got == {(5, texts[0]), (None, texts[1]), (None, texts[2]), (8, texts[3])}
+
+
+def brute(rows, percent=85):
+    """{row: first row of its component} over all pairs."""
+    sets = []
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set())
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0], k))
+    edges = [(a, b) for x, a in enumerate(order) for b in order[x + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    rank = {k: r for r, k in enumerate(order)}
+    find = root_of([(rank[a], rank[b]) for a, b in edges])
+    return {rows[k][0]: rows[order[find(rank[k])]][0] for k in order}
+
+
+@pytest.fixture(scope="module")
+def families():
+    """Texts around shared passages: near copies on both sides of the threshold, half-alike ones and copies."""
+    rng = np.random.default_rng(11)
+    words = np.array([f"w{i}" for i in range(3000)])
+    shared = rng.choice(words, 60)
+    rows = []
+    for f in range(6):
+        parent = np.concatenate([shared, rng.choice(words, 60)]) if f % 2 else rng.choice(words, 120)
+        for _ in range(40):
+            text = parent.copy()
+            text[rng.integers(0, len(text), rng.choice([0, 1, 1, 2, 2, 3, 4, 6]))] = rng.choice(words)
+            rows.append((int(rng.integers(0, 10**6)) * 1000 + len(rows), " ".join(text)))
+    return [*rows, (5, None), (6, ""), (7, "one two"), (8, "One  TWO")]
+
+
+@pytest.mark.parametrize("group", [256, 8])
+def test_brute_force(spark, monkeypatch, families, group):
+    """All components, with groups compared whole and by hub and blocks."""
+    monkeypatch.setattr(forest, "GROUP", group)
+    docs = spark.createDataFrame(families, "doc_id long, text string").repartition(5)
+    assert {r.key: r.component for r in forest.near_duplicates(docs).collect()} == brute(families)
+
+
+def test_recall(spark):
+    """No link of the small table is lost."""
+    from collections import defaultdict
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    by = defaultdict(set)
+    got = {r.key: r.component for r in forest.near_duplicates(docs).collect()}
+    want = brute(rows)
+    for i, c in want.items():
+        by[c].add(i)
+    assert got == want and sum(len(m) > 1 for m in by.values()) > 0
+
+
+def test_common_prefix():
+    rows = np.array([[1, 2, 3], [1, 2, 4], [1, 2, 4], [5, 2, 4]], np.uint16)
+    assert forest.common_prefix(rows).tolist() == [0, 2, 3, 0] and len(forest.common_prefix(rows[:0])) == 0
+
+
+def test_labels_sort_as_orders():
+    rows = np.random.default_rng(5).integers(0, 1 << 16, (50, forest.VALUES), dtype=np.uint16)
+    for t in (0, 7, 31):
+        label = forest.labels(rows)[:, t]
+        first = [tuple((np.roll(r, -t * forest.DEPTH)[: forest.DEPTH] >> 2).tolist()) for r in rows]
+        assert sorted(range(50), key=lambda i: label[i]) == sorted(range(50), key=lambda i: first[i]) and (label % np.uint64(32) == t).all()
