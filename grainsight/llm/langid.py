@@ -5,8 +5,9 @@
 under a language is the product of its trigrams' probabilities, and
 expectation-maximisation estimates the language proportions.  Languages leave
 the set one by one, smallest share first, as long as that lowers the penalised
-likelihood -2 log L + |set| log n.  The model has a fixed size for each language;
-texts are scored where they are read.
+likelihood -2 log L + |set| log n.  The model has a fixed size whatever the corpus:
+many languages share it by having fewer buckets each; texts are scored where they
+are read.
 
 Defined results: `und` with score 0 for null texts and texts without a letter,
 and for all texts if nothing was learned; ties between languages go to the one
@@ -28,10 +29,15 @@ from pyspark.sql import functions as F
 from .common import VECTOR_SCHEMA, sum_vectors, vector_rows
 from .textcols import LOWER, buffer, slices
 
-#: Trigram buckets a language.
+#: Trigram buckets a language, while there are few languages.
 BUCKETS = 1 << 16
-#: Languages that a model may hold; more raise an error.
-MAX_LANGUAGES = 512
+#: Numbers that a model may hold: with more languages each has fewer buckets, but `LEAST_BUCKETS`.
+TABLE = 1 << 23
+LEAST_BUCKETS = 1 << 8
+#: Languages that a counting task gathers before it hands them on.
+GATHER = 64
+#: Bytes of text that a task works on at once; a byte takes some numbers for each language.
+SLICE = 1 << 20
 SMOOTHING = 0.2
 EM_STEPS = 8
 RE_STEPS = 4
@@ -69,30 +75,35 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang") -> Model:
     """Counts trigrams of all texts where `learn` holds and the label isn't null."""
     rows = docs.where(learn).where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    known, buckets = rows.select("lang").distinct().count(), BUCKETS
+    while known * buckets > TABLE and buckets > LEAST_BUCKETS:
+        buckets //= 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 names = part.column(0).dictionary_encode()
                 code = names.indices.to_numpy(zero_copy_only=False)
                 grams, starts, of = trigrams(part.column(1))
                 if not len(starts):
                     continue
                 which = np.repeat(code[of], np.diff(np.append(starts, len(grams))))
-                sums = np.bincount(which * BUCKETS + grams, minlength=len(names.dictionary) * BUCKETS)
+                order = np.argsort(which, kind="stable")
+                which, grams = which[order], grams[order] % buckets
+                cuts = np.searchsorted(which, np.arange(len(names.dictionary) + 1))
                 for i, name in enumerate(names.dictionary.to_pylist()):
-                    total[name] = total.get(name, 0) + sums[i * BUCKETS : (i + 1) * BUCKETS]
-            if len(total) > MAX_LANGUAGES:
-                raise ValueError(f"more than {MAX_LANGUAGES} languages")
+                    if cuts[i + 1] > cuts[i]:
+                        total[name] = total.get(name, 0) + np.bincount(grams[cuts[i] : cuts[i + 1]], minlength=buckets)
+                if len(total) > GATHER:
+                    yield from vector_rows(total)
+                    total = {}
         yield from vector_rows(total)
 
     counts = sum_vectors(rows.mapInArrow(count, VECTOR_SCHEMA))
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(counts)
-    table = np.array([counts[k] for k in languages]).reshape(len(languages), BUCKETS).T
-    return Model(languages, np.log((table + SMOOTHING) / (table.sum(0) + SMOOTHING * BUCKETS)).astype(np.float32))
+    table = np.array([counts[k] for k in languages]).reshape(len(languages), buckets).T
+    return Model(languages, np.log((table + SMOOTHING) / (table.sum(0) + SMOOTHING * buckets)).astype(np.float32))
 
 
 def _em(p: np.ndarray, share: np.ndarray, allowed: np.ndarray, first: np.ndarray, of: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +125,7 @@ def mixtures(model: Model, column: pa.Array) -> np.ndarray:
     grams, starts, of = trigrams(column)
     if not len(starts) or not model.languages:
         return out
-    logs = np.add.reduceat(model.log_p[grams], starts, axis=0).astype(np.float64)
+    logs = np.add.reduceat(model.log_p[grams % len(model.log_p)], starts, axis=0).astype(np.float64)
     p = np.exp(np.maximum(logs - logs.max(1, keepdims=True), -200))
     present, of = np.unique(of, return_inverse=True)
     first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
@@ -148,7 +159,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 found = mixtures(m, part.column(1))
                 data, offsets = buffer(part.column(1))
                 ascii_letters = np.concatenate([[0], np.cumsum(_LETTER[data] & (data < 128))])
