@@ -13,16 +13,19 @@ is 0 for queries.  Bounds leave room for rounding; scores are exact integers.
 
 Defined results: vectors that are null or hold null or non-finite components, and
 rows with a null id, take no part; equal scores rank by id; rows that repeat id and
-vector count once; shorter vectors count as filled up with zeros; components of
-2**24 or more after scaling raise an error, as their products wouldn't stay exact;
-an empty table gives an empty table.  Only id and vector are read, so other
+vector count once; shorter vectors count as filled up with zeros; vectors with
+components of 2**24 or more after scaling stand beside the trees and are compared one
+by one in whole numbers of any size, and only a score that doesn't fit 64 bits and
+would be returned raises an error; an empty table gives an empty table.  Only id and vector are read, so other
 columns clash with nothing.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -36,25 +39,41 @@ FANOUT = 16
 BLOCK = 4096
 #: Fixed value: components are scaled by this and rounded down.
 SCALE = 256.0
+#: Scaled components from here on don't go into trees.
+LARGE = 1 << 24
 
 
 def integers(batch: pa.RecordBatch, column: int) -> list[np.ndarray | None]:
-    """floor(256 * x) of each vector; None where a vector takes no part."""
+    """floor(256 * x) of each vector, as 32-bit numbers or, if some are large, as floats; None where a vector takes no part."""
     lists = batch.column(column)
     flat, offsets = lists.values, lists.offsets.to_numpy()
-    x = np.floor(SCALE * flat.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False))
+    raw = flat.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
     found = []
     for i, valid in enumerate(lists.is_valid().to_pylist()):
-        v = x[offsets[i] : offsets[i + 1]]
+        v = raw[offsets[i] : offsets[i + 1]]
         if not valid or not np.isfinite(v).all():
             found.append(None)
-        elif len(v) and np.abs(v).max() >= 1 << 24:
-            raise ValueError("components are too large for exact scores")
+        elif len(v) and np.abs(v).max() >= LARGE / SCALE:
+            found.append(v)  # scaled exactly where it is used
         else:
-            found.append(v.astype(np.int32))
+            found.append(np.floor(SCALE * v).astype(np.int32))
     return found
 
 
+def whole_numbers(v: bytes, large: bool) -> list[int]:
+    """The components as Python's integers."""
+    return [math.floor(int(SCALE) * Fraction(x)) for x in np.frombuffer(v, np.float64).tolist()] if large else np.frombuffer(v, np.int32).tolist()
+
+
+def one_by_one(query: list[int], rows: list[tuple[int, list[int]]], k: int, own: int) -> list[tuple[int, int]]:
+    """(score, id) of the k best rows by plain products."""
+    scored = ((sum(a * b for a, b in zip(query, v, strict=False)), -i) for i, v in rows if i != own)
+    best = [(s, -i) for s, i in heapq.nlargest(k, scored)]
+    if any(not -(1 << 63) <= s < 1 << 63 for s, _ in best):
+        raise OverflowError("a score doesn't fit 64 bits")
+    return best
+
+
 class MTree:
     """An M-tree over one block: pages of (entries, parent distances, radii, children)."""
 
@@ -168,14 +187,21 @@ def _answers(k: int):
     names = ["query_id", "vec_id", "score"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, data, tree = None, [], None
+        block, data, large, tree = None, [], [], None
         for batch in batches:
             out: list[tuple[int, int, int]] = []
-            for b, asks, i, v in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            for b, asks, i, v, is_large in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
                 if b != block:
-                    block, data, tree = b, [], None
+                    block, data, large, tree = b, [], [], None
                 if not asks:
-                    data.append((i, v))
+                    if is_large:
+                        large.append((i, whole_numbers(v, True)))
+                    else:
+                        data.append((i, v))
+                    continue
+                if is_large:
+                    rows = large + [(j, whole_numbers(w, False)) for j, w in data]
+                    out += [(i, j, s) for s, j in one_by_one(whole_numbers(v, True), rows, k, i)]
                     continue
                 if tree is None:
                     tree = MTree(np.array([x[0] for x in data], np.int64), _matrix([x[1] for x in data]))
@@ -183,6 +209,8 @@ def _answers(k: int):
                 width = tree.x.shape[1] if len(data) else len(q)
                 q = np.resize(np.concatenate([q, np.zeros(max(0, width - len(q)), np.int32)]), width) if len(q) < width else q[:width]
                 out += [(i, j, s) for s, j in tree.search(q, k, i)]
+                if large:
+                    out += [(i, j, s) for s, j in one_by_one(whole_numbers(v, False), large, k, i)]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], names)
 
     return run
@@ -199,14 +227,14 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 5, key: str = "vec_id", vec
         for batch in batches:
             found = integers(batch, 2)
             keep = pa.array([v is not None for v in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array([v.tobytes() for v in found if v is not None], pa.binary())], ["id", "asks", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array([v.tobytes() for v in found if v is not None], pa.binary()), pa.array([v.dtype == np.float64 for v in found if v is not None], pa.bool_())], ["id", "asks", "v", "large"])
 
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(asks, F.lit(False)).alias("asks"), F.col(vector).cast("array<double>").alias("v"))
-    rows = rows.mapInArrow(whole, "id long, asks boolean, v binary")
+    rows = rows.mapInArrow(whole, "id long, asks boolean, v binary, large boolean")
     blocks = max(1, -(-rows.count() // block))
     data = rows.distinct()
-    dealt = data.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "id", "v")
-    queries = data.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "id", "v")
+    dealt = data.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "id", "v", "large")
+    queries = data.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "id", "v", "large")
     parts = dealt.unionByName(queries).repartition(blocks, "block").sortWithinPartitions("block", "asks", "id")
     found = parts.mapInArrow(_answers(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
