@@ -6,8 +6,9 @@ only thing that reaches the driver; dynamic programming over it places at most
 `k` bucket bounds so that padding each piece to its bucket's bound wastes least.
 Inside a bucket pieces are numbered in order of key and cut into batches of
 `budget` tokens.  The numbering is exact and global, yet no task sees a whole
-bucket: pieces are numbered inside blocks of keys, and a running sum over the
-blocks' counts gives each block its start.
+bucket: pieces are sorted into ranges of keys, whatever the keys are like, and the
+driver adds up how many of each bucket every range has, a number for each range and
+bucket.  Texts are read once: pieces, which are a few numbers, are kept.
 
 Defined results: a null or empty text is one piece of no words with null bucket
 and batch; ties between bounds go to the smaller one; rows that repeat a key are
@@ -24,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
 from .textcols import Words, slices
 
 MAX_LEN = 2048
 BUCKETS = 16
 BUDGET = 65_536
-#: Keys of one numbering block.
-BLOCK = 1024
+#: Pieces of one range, about.
+RANGE = 1 << 18
 
 
 def pieces(docs: DataFrame, max_len: int = MAX_LEN, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,9 +46,9 @@ def pieces(docs: DataFrame, max_len: int = MAX_LEN, key: str = "doc_id", text: s
 
     words = docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n_words long")
     last = F.greatest(F.ceil(F.col("n_words") / max_len) - 1, F.lit(0)).cast("int")
-    cut = words.select(key, "n_words", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    parts = words.select(key, "n_words", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     start = F.col("piece").cast("long") * max_len
-    return cut.select(key, "piece", start.alias("start"), F.least(F.col("n_words") - start, F.lit(max_len)).cast("int").alias("n_tokens"))
+    return parts.select(key, "piece", start.alias("start"), F.least(F.col("n_words") - start, F.lit(max_len)).cast("int").alias("n_tokens"))
 
 
 def histogram(found: DataFrame, max_len: int = MAX_LEN) -> np.ndarray:
@@ -87,12 +89,21 @@ def batches(found: DataFrame, bound: list[int], budget: int = BUDGET, key: str =
         bucket = F.when(F.col("n_tokens") > 0, bucket)
     else:
         bucket = F.lit(None).cast("int")
-    rows = found.withColumn("bucket", bucket).withColumn("_block", F.floor(F.col(key) / BLOCK))
-    sizes = rows.groupBy("bucket", "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("bucket").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("bucket").alias("_b"), F.col("_block").alias("_k"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("bucket", "_block").orderBy(key, "piece", "n_tokens")
-    numbered = rows.withColumn("_row", F.row_number().over(inside) - 1).join(starts, F.col("bucket").eqNullSafe(F.col("_b")) & F.col("_block").eqNullSafe(F.col("_k")))
+    spark = found.sparkSession
+    ranges = max(spark.sparkContext.defaultParallelism, -(-found.count() // RANGE))
+    # pieces alike in all else, as of a key that many rows share, are told apart by chance
+    order = [key, "piece", "n_tokens", "_chance"]
+    rows = found.withColumn("bucket", bucket).withColumn("_chance", F.rand(17))
+    rows = cut(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = sorted(rows.groupBy("_part", "bucket").agg(F.count("*").alias("n")).collect(), key=lambda r: r["_part"])
+    start: dict[int | None, int] = {}
+    starts = []
+    for r in sizes:  # at most one row for each range and bucket
+        starts.append((r["_part"], r["bucket"], start.get(r["bucket"], 0)))
+        start[r["bucket"]] = start.get(r["bucket"], 0) + r["n"]
+    table = F.broadcast(spark.createDataFrame(starts, "_p int, _b int, _start long"))
+    inside = Window.partitionBy("_part", "bucket").orderBy(*order)
+    numbered = rows.withColumn("_row", F.row_number().over(inside) - 1).join(table, (F.col("_part") == F.col("_p")) & F.col("bucket").eqNullSafe(F.col("_b")))
     number = F.col("_start") + F.col("_row")
     size = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket")))
     return numbered.select(
@@ -109,7 +120,7 @@ def batches(found: DataFrame, bound: list[int], budget: int = BUDGET, key: str =
 
 def pack(docs: DataFrame, max_len: int = MAX_LEN, k: int = BUCKETS, budget: int = BUDGET, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All of it: pieces, optimal bounds, batches."""
-    found = pieces(docs, max_len, key, text)
+    found = cut(pieces(docs, max_len, key, text))
     return batches(found, bounds(histogram(found, max_len), k), budget, key)
 
 
