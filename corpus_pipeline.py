@@ -27,7 +27,11 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a language: no letters, or no language that has a fair share of the words."""
+    """Rejects texts without a language: null, without a letter, or no language has a fair share of the words.
+
+    Learns from all labelled rows; ties and repeated rows get equal decisions, and
+    columns of any names pass through.
+    """
     model = langid.train(docs, F.lit(True))
     columns = docs.columns
     keys = docs.select(F.struct(*columns).alias("row"), F.col("text"))
@@ -36,22 +40,33 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that have an earlier match, and texts of which nothing is left."""
+    """Removes lines that have an earlier match, and texts that had words and keep none.
+
+    Null and wordless texts stay; rows with a null key come after all others, and rows
+    that share a key are told apart by their texts.
+    """
     return _counted(lines.dedup(docs), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: the one of smallest `doc_id`."""
+    """Keeps one document of each group of near-duplicates: the one of smallest `doc_id`.
+
+    Of equal keys the text of smaller digest stays; rows equal in key and text stay
+    together; null keys come last; wordless texts are like nothing and stay.
+    """
     return forest.dedup(docs, percent=NEAR_PERCENT)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages of 13 words or more that start in a document of smaller `doc_id`."""
+    """Removes passages of 13 words or more that start in a document of smaller `doc_id`, and texts that lose all their words.
+
+    Rows that share a key never remove each other's words; null keys come last.
+    """
     return _counted(repeats.dedup(docs), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the kept texts in length buckets and token-budget batches."""
+    """Pieces of the kept texts in length buckets and token-budget batches; null and wordless texts are one piece in no bucket."""
     return packing.pack(docs)
 
 
@@ -63,7 +78,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can't express the mixture model of the first stage; tests cover near-dedup on planted rows, and no brute-force version checks the whole pipeline.
+#: SQL can't express the mixture model of the first stage; `tests/llm/test_pipeline.py` holds each stage against a plain version of it.
 ORACLE_SQL = None
 
 
@@ -76,8 +91,16 @@ def _shared_folder(spark: SparkSession) -> str:
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = _shared_folder(spark)
+    folder, before = _shared_folder(spark), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:  # what the next stage has read whole isn't needed any more
+            _remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
