@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 FOV_MM, OVERLAP, MOTION_MS, SETTLE_MS, MARGIN_MS, GAP_MS, SIDES = 7.4, 0.10, 500.0, 50.0, 500.0, 50.0, 4
 STANDARD_EXPOSURE_MS = {"Uniform": 100.0, "NSEW": 800.0}
 FOCUS_EVERY, FOCUS_RATIO = 5, 0.8
+GRAB_MS = 5000
 
 
 def scan_stops(spark: SparkSession, columns: int, rows: int, step_mm: float) -> DataFrame:
@@ -30,10 +31,19 @@ def scan_stops(spark: SparkSession, columns: int, rows: int, step_mm: float) ->
 
 
 def return_moves(row: Column, col: Column, step_mm: float) -> Column:
-    """array<struct(axis, delta_mm)>: back to (1, 1), X first."""
+    """array<struct(axis, delta_mm)>: back to (1, 1), X first; stops are counted from 1."""
+    if step_mm <= 0:
+        raise ValueError("a step must be above 0")
     x = F.struct(F.lit("X").alias("axis"), (-(col - 1) * F.lit(float(step_mm))).alias("delta_mm"))
     y = F.struct(F.lit("Y").alias("axis"), ((row - 1) * F.lit(float(step_mm))).alias("delta_mm"))
-    return F.filter(F.array(x, y), lambda m: m["delta_mm"] != 0)
+    moves = F.filter(F.array(x, y), lambda m: m["delta_mm"] != 0)
+    kind = "array<struct<axis:string,delta_mm:double>>"
+    return F.when((row < 1) | (col < 1), F.raise_error(F.lit("rows and columns start at 1")).cast(kind)).otherwise(moves.cast(kind))
+
+
+def return_to_start(columns: Column, rows: Column, step_mm: float) -> Column:
+    """The moves back from the last stop of a serpentine scan."""
+    return return_moves(rows, F.when(F.pmod(rows, F.lit(2)) == 1, columns).otherwise(F.lit(1)), step_mm)
 
 
 def scan_summary(step: Column, columns: Column, rows: Column, fov_mm: float = FOV_MM) -> Column:
@@ -46,6 +56,15 @@ def shutter_ms(total_ms: Column, mode: Column) -> Column:
     return F.when(total_ms > 0, total_ms)
 
 
+def standard_exposure_ms(mode: Column) -> Column:
+    return F.when(F.lower(mode) == "nsew", STANDARD_EXPOSURE_MS["NSEW"]).otherwise(STANDARD_EXPOSURE_MS["Uniform"])
+
+
+def grab_timeout_ms(exposure_us: Column) -> Column:
+    """How long to wait for a frame: two seconds beyond the exposure, `GRAB_MS` at least."""
+    return F.greatest(F.lit(float(GRAB_MS)), exposure_us / 1000.0 + 2000.0).cast("int")
+
+
 def pause_plan(shutter: Column, mode: Column) -> Column:
     """struct(frames, gaps, dwell_ms): how long the stage waits at a stop."""
     frames = F.when(mode == "NSEW", SIDES).otherwise(1)
@@ -101,11 +120,24 @@ def autofocus_rollup(searches: DataFrame, keys: tuple[str, ...], attempt: str =
 
 
 def settled_frames(frames: DataFrame, asks: DataFrame, camera: str = "camera") -> DataFrame:
-    """For each ask (camera, ask_id, seq, at, settle_s, timeout_s) the first frame (camera, seq, at) newer than the ask and settled, null after the time limit."""
-    f = frames.select(camera, F.col("seq").alias("frame"), F.col("at").alias("frame_at"))
-    both = asks.join(f, camera, "left").withColumn("_age", F.col("frame_at").cast("double") - F.col("at").cast("double"))
-    ok = (F.col("frame") > F.col("seq")) & (F.col("_age") >= F.col("settle_s")) & (F.col("_age") <= F.col("settle_s") + F.col("timeout_s"))
-    return both.groupBy(camera, "ask_id").agg(F.min(F.when(ok, F.col("frame"))).alias("frame"))
+    """For each ask (camera, ask_id, at, settle_s, timeout_s) the first frame (camera, seq, at) after it has settled; null after the time limit.
+
+    An as-of join: frames and asks of a stretch of time meet, sorted by time, and each
+    ask takes the next frame.  Stretches are as long as the longest limit, so a frame
+    goes to its own and the one before, and a busy camera's rows spread over many.
+    """
+    width = float(asks.agg(F.max("timeout_s")).head()[0] or 0.0) + 1.0
+    stretch = lambda t: F.floor(t / F.lit(width)).cast("long")
+    ready = F.col("at").cast("double") + F.col("settle_s")
+    a = asks.select(camera, "ask_id", ready.alias("_t"), (ready + F.col("timeout_s")).alias("_until"), stretch(ready).alias("_s"), F.lit(None).cast("long").alias("_frame"))
+    seen = frames.select(camera, F.col("at").cast("double").alias("_t"), F.col("seq").cast("long").alias("_frame"))
+    f = seen.select(camera, "_t", "_frame", F.explode(F.array(stretch(F.col("_t")), stretch(F.col("_t")) - 1)).alias("_s"))
+    both = a.unionByName(f, allowMissingColumns=True)
+    # a frame of the very moment counts as before it
+    later = Window.partitionBy(camera, "_s").orderBy(F.col("_t"), F.col("_frame").isNull(), "_frame").rowsBetween(1, Window.unboundedFollowing)
+    following = F.first(F.when(F.col("_frame").isNotNull(), F.struct("_t", "_frame")), ignorenulls=True).over(later)
+    found = both.withColumn("_next", following).where("_frame IS NULL")
+    return found.select(camera, "ask_id", F.when(F.col("_next._t") <= F.col("_until"), F.col("_next._frame")).alias("frame"))
 
 
 class FocusWalk:
@@ -207,9 +239,13 @@ def replay_focus(curves: DataFrame, key: str = "run", travel: float = 1.0, coars
 
 
 def trace_line(index: Column, offset: Column, score: Column, phase: Column, decision: Column) -> Column:
-    """A fixed-width line of a focus trace."""
-    digits = F.when(F.abs(score) >= 100, F.format_string("%8.0f", score)).otherwise(F.format_string("%8.2f", score))
-    return F.concat(F.format_string("%3d  %+7.3f mm  ", index, offset), digits, F.format_string("  %-7s%s", phase, decision))
+    """A fixed-width line of a focus trace: number, what was done, signed offset, score and verdict."""
+    value = F.when(score >= 100, F.format_string("%.0f", score)).otherwise(F.format_string("%.2f", score))
+    place = F.format_string("%+.3f mm", offset)
+    name = F.initcap(phase)
+    done = F.when(decision == "start", F.lit("Start     ")).when(decision == "back", F.lit("Back to   ")).otherwise(F.rpad(name, 10, " "))
+    verdict = F.when(decision.isin("start", "back"), F.lit("")).when(decision.isin("sharper", "again"), F.concat(F.lit("   "), decision)).otherwise(F.lit("   not sharper"))
+    return F.concat(F.format_string("%2d. ", index), done, F.lit(" "), place, F.lit("   "), value, verdict)
 
 
 def scan_program(stops: DataFrame, feed: float, dwell_ms: int) -> DataFrame:

@@ -10,7 +10,7 @@ order: confidence descending, then tile, y, x and id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -101,20 +101,30 @@ def deduplicate(rows: DataFrame, radius: float, aggregation: str = "max", fracti
 
 def _slot_clusters(radius: float, fraction: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Greedy within one component: nearest first, at most one member a slot, rows without a slot are never taken."""
+        """Greedy within one component: nearest first, at most one member a slot, rows without a slot are never taken.
+
+        A grid of cells as wide as the largest limit leaves each seed a few rows to look at.
+        """
         g = group.sort_values(["confidence", "source_tile", "y", "x", "id"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
         x, y, size = (g[c].to_numpy(float) for c in ("x", "y", "size"))
         slot = g["slot"].tolist()
         seed_of = np.full(len(g), -1)
-        for i in range(len(g)):
+        width = max(radius, fraction * float(size.max()) if fraction > 0 else 0.0, 1e-9)
+        cells: dict[tuple[int, int], list[int]] = {}
+        at = list(zip(np.floor(x / width).astype(int).tolist(), np.floor(y / width).astype(int).tolist(), strict=True))
+        for i, c in enumerate(at):
+            cells.setdefault(c, []).append(i)
+        for i, (cx, cy) in enumerate(at):
             if seed_of[i] >= 0:
                 continue
             seed_of[i] = i
-            d = np.hypot(x - x[i], y - y[i])
-            limit = np.maximum(radius, fraction * np.maximum(size, size[i])) if fraction > 0 else np.full(len(g), radius)
+            near = np.array([j for a in (-1, 0, 1) for b in (-1, 0, 1) for j in cells.get((cx + a, cy + b), ()) if seed_of[j] < 0 and slot[j] is not None], int)
+            d = np.hypot(x[near] - x[i], y[near] - y[i])
+            limit = np.maximum(radius, fraction * np.maximum(size[near], size[i])) if fraction > 0 else np.full(len(near), radius)
             taken = {slot[i]} if slot[i] is not None else set()
-            for j in np.lexsort((np.arange(len(g)), d)):
-                if seed_of[j] < 0 and d[j] <= limit[j] and slot[j] is not None and slot[j] not in taken:
+            for k in np.lexsort((near, d)):
+                j = near[k]
+                if d[k] <= limit[k] and slot[j] not in taken:
                     taken.add(slot[j])
                     seed_of[j] = i
         return pd.DataFrame({"id": g["id"], "seed": g["id"].to_numpy()[seed_of]})
@@ -133,7 +143,7 @@ def assign_slot_seeds(rows: DataFrame, radius: float, fraction: float = 0.4, on:
     pairs = limited_pairs(slim.select("id", "x", "y", "size", *on), radius, fraction, on)
     roots = connected_components(pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")))
     grouped = slim.withColumn("slot", names.slot("source_tile")).join(roots.withColumnRenamed("node", "id"), "id")
-    found = grouped.groupBy("root").applyInPandas(_slot_clusters(radius, fraction), "id long, seed long")
+    found = grouped.groupBy("root").applyInPandas(_slot_clusters(radius, fraction), f"id {dict(rows.dtypes)['id']}, seed {dict(rows.dtypes)['id']}")
     return slim.select("id").join(found, "id", "left").select("id", F.coalesce("seed", "id").alias("seed"))
 
 
@@ -144,9 +154,9 @@ def deduplicate_slots(rows: DataFrame, radius: float, aggregation: str = "max",
 
 
 def dedup_group(tile: F.Column, placed: F.Column) -> F.Column:
-    """Which rows are de-duplicated together: all placed ones, a submap's shots, all letter photos, or one photo."""
+    """Which rows are de-duplicated together: all placed ones, a submap's shots, all letter photos, or one photo; a shot outside of submaps is a photo by itself."""
     shots = names.lighting_role(tile).isNotNull() | (names.is_combined(tile) & (names.submap(tile) != ""))
-    return F.when(placed, "placed").when(shots, F.concat(F.lit("light:"), names.submap(tile))).when(names.is_direction_family(tile), "letters").otherwise(F.concat(F.lit("tile:"), tile))
+    return F.when(placed, "placed").when(shots, F.concat(F.lit("light:"), F.coalesce(F.nullif(names.submap(tile), F.lit("")), tile))).when(names.is_direction_family(tile), "letters").otherwise(F.concat(F.lit("tile:"), tile))
 
 
 def route_and_deduplicate(rows: DataFrame, pixel_nm: float, radius_px: float = 8.0, slot_radius_px: float = 24.0, fraction: float = 0.4, aggregation: str = "max") -> DataFrame:
@@ -156,17 +166,3 @@ def route_and_deduplicate(rows: DataFrame, pixel_nm: float, radius_px: float = 8
     plain, slots = tagged.where(~by_slot), tagged.where(by_slot)
     seeds = assign_seeds(plain, radius_px * pixel_nm, 0.0, ["_group"]).unionByName(assign_slot_seeds(slots, max(radius_px, slot_radius_px) * pixel_nm, fraction, ["_group"]))
     return merged(tagged, seeds, aggregation).drop("_group")
-
-
-def brute_force(rows: list[dict], radius: float, fraction: float = 0.0) -> Iterator[tuple[int, int]]:
-    """The greedy rule itself, one row after the other: for tests and small tables."""
-    order = sorted(rows, key=lambda r: (-r["confidence"], r["source_tile"], r["y"], r["x"], r["id"]))
-    free = {r["id"] for r in order}
-    for seed in order:
-        if seed["id"] not in free:
-            continue
-        for r in order:
-            limit = max(radius, fraction * max(seed["size"], r["size"])) if fraction > 0 else radius
-            if r["id"] in free and (seed["x"] - r["x"]) ** 2 + (seed["y"] - r["y"]) ** 2 <= limit * limit:
-                free.discard(r["id"])
-                yield r["id"], seed["id"]

@@ -25,7 +25,7 @@ def at_least(rows: DataFrame, thresholds_um: tuple[float, ...] = THRESHOLDS_UM,
 
 
 def bin_label(left: float, right: float) -> str:
-    text = lambda v: f"{int(v)}" if float(v).is_integer() else f"{v:.2f}"
+    text = lambda v: f"{round(v)}" if abs(v - round(v)) < 1e-6 else f"{v:.2f}"
     return f"{text(left)}–{text(right)}"
 
 
@@ -48,6 +48,8 @@ def histogram(rows: DataFrame, min_um: float, step_um: float = BIN_UM, size: str
 def export_table(rows: DataFrame) -> DataFrame:
     """The six exported columns, micrometres to one decimal, half to even."""
     need = ["id", "x_global", "y_global", "size", "source_tile", "confidence"]
+    if "id" not in rows.columns and rows.isEmpty():
+        return rows.sparkSession.createDataFrame([], "id long, x_global_um double, y_global_um double, size_um double, source_tile string, confidence double")
     if missing := [c for c in need if c not in rows.columns]:
         raise ValueError(f"columns are missing: {', '.join(missing)}")
     um = lambda c: (F.rint(F.col(c) / 1000.0 * 10) / 10).alias(f"{c}_um")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +12,8 @@ from .dedup import assign_slot_seeds, slot_list
 from .spatial import limited_pairs, nearest_join, pair_limit, range_join, search_radius
 
 MIN_SIZE_NM = 10_000.0
-#: Fixed value: the queue's own merge radius, 24 pixels of 960 nm.
+#: Fixed value: the queue's own merge radius, 24 pixels of 960 nm whatever the configured pixel is; callers may give another.
 QUEUE_RADIUS_NM = 24.0 * 960.0
-#: Folders whose two fields show the same place at two exposures.
-EXPOSURE_PAIRS = {"Groundup v5 combi": (("v3", "v4"),)}
 
 
 def minimum_size(rows: DataFrame, min_nm: float = MIN_SIZE_NM, size: str = "size") -> DataFrame:
@@ -97,9 +94,11 @@ def mutual_nearest(left: DataFrame, right: DataFrame, radius: float, fraction: f
     return both.join(sizes, "left_id").where(F.col("d2") <= limit * limit).select("left_id", "right_id")
 
 
-def share_exposure_keys(rows: DataFrame, folder: str, radius: float, fraction: float = 0.4) -> DataFrame:
-    """The second exposure's rows take the key of their partner in the first and are marked as not to keep."""
-    pairs = EXPOSURE_PAIRS.get(folder.replace("\\", "/").rstrip("/").split("/")[-1])
+def share_exposure_keys(rows: DataFrame, pairs: Sequence[tuple[str, str]], radius: float, fraction: float = 0.4) -> DataFrame:
+    """The second exposure's rows take the key of their partner in the first and are marked as not to keep.
+
+    `pairs`: submaps that show the same place at two exposures, as a folder's settings name them.
+    """
     if not pairs:
         return rows
     out = rows
@@ -171,20 +170,6 @@ def review_queue(tables: Sequence[DataFrame], labelled: DataFrame, labels: DataF
     return unlabelled(minimum_size(rows, min_nm), labelled)
 
 
-def trace(queries: DataFrame, blobs: DataFrame, near_px: float = 20.0, on: Sequence[str] = ()) -> DataFrame:
-    """Why a place has no detection: `queries` (id, x, y) with the nearest blob's distance and reason, and the nearest kept one's distance."""
-    any_ = nearest_join(queries, blobs, near_px, on).select("id", F.sqrt("d2").alias("nearest_blob_px"), F.col("r.reason").alias("_reason"))
-    kept = nearest_join(queries, blobs.where("reason = 'kept'"), near_px, on).select("id", F.sqrt("d2").alias("nearest_kept_px"))
-    out = queries.join(any_, "id", "left").join(kept, "id", "left")
-    reason = F.when(F.col("nearest_kept_px").isNotNull(), "kept").when(F.col("nearest_blob_px").isNotNull(), F.col("_reason")).otherwise("no_blob")
-    return out.withColumn("reason", reason).drop("_reason")
-
-
 def pairs_of(rows: DataFrame, radius: float, fraction: float) -> DataFrame:
     """(a, b, d2), a < b: the pairs that may merge."""
     return limited_pairs(rows, radius, fraction).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), "d2").where("a < b")
-
-
-def as_pandas_ids(values: Sequence[object]) -> pd.Series:
-    """Ids as whole numbers; 0 where a value isn't one."""
-    return pd.to_numeric(pd.Series(list(values), dtype="object"), errors="coerce").fillna(0).astype("int64")

@@ -14,7 +14,9 @@ SNR_RATIO = 2.5
 
 
 def reject_clustered(rows: DataFrame, radius: float, least: int = 2, size_ratio: float = SIZE_RATIO, snr_ratio: float = SNR_RATIO, on: Sequence[str] = (), key: str = "id", x: str = "x", y: str = "y", size: str = "size", snr: str | None = "snr") -> DataFrame:
-    """Rows with fewer than `least` neighbours, or clearly larger or clearer than the median of them."""
+    """Rows with fewer than `least` neighbours, or clearly larger or clearer than the median of them; a radius or number of 0 or less keeps all."""
+    if radius <= 0 or least <= 0:
+        return rows
     slim = rows.select(key, *on, x, y, size, *([snr] if snr else []))
     pairs = range_join(slim, slim, radius, on, x, y).where(F.col(f"l.{key}") != F.col(f"r.{key}"))
     of = [F.count("*").alias("_n"), F.median(f"r.{size}").alias("_size")]
@@ -28,7 +30,9 @@ def reject_clustered(rows: DataFrame, radius: float, least: int = 2, size_ratio:
 
 
 def reject_aligned(rows: DataFrame, bin_px: float = 10.0, least: int = 3, span: float = 48.0, gap: float = 48.0, size_ratio: float = SIZE_RATIO, on: Sequence[str] = (), key: str = "id", x: str = "x", y: str = "y", size: str = "size") -> DataFrame:
-    """Rows that no dense run along x or y takes up; both axes are judged on the input."""
+    """Rows that no dense run along x or y takes up; both axes are judged on the input.  A gap of 0 sets no limit; a bin or run length of 0 or less keeps all."""
+    if bin_px <= 0 or least <= 0:
+        return rows
     flagged = rows
     for i, (along, across) in enumerate(((x, y), (y, x))):
         run = f"_run{i}"
@@ -36,7 +40,7 @@ def reject_aligned(rows: DataFrame, bin_px: float = 10.0, least: int = 3, span:
         binned = flagged.withColumn(run, F.rint(F.col(across) / F.lit(bin_px)).cast("long"))
         step = F.col(along) - F.lag(along).over(Window.partitionBy(*group).orderBy(along, key))
         runs = binned.withColumn("_step", step).groupBy(*group).agg(F.count("*").alias("_n"), (F.max(along) - F.min(along)).alias("_span"), F.max("_step").alias("_gap"), F.median(size).alias("_size"))
-        runs = runs.where((F.col("_n") >= least) & (F.col("_span") >= span) & (F.col("_gap") <= gap)).select(*group, F.col("_size").alias(f"_size{i}"))
+        runs = runs.where((F.col("_n") >= least) & (F.col("_span") >= span) & (F.lit(gap <= 0) | (F.coalesce("_gap", F.lit(0.0)) <= gap))).select(*group, F.col("_size").alias(f"_size{i}"))
         flagged = binned.join(runs, group, "left")
     outlier = lambda i: (F.col(f"_size{i}") > 0) & (F.col(size) >= size_ratio * F.col(f"_size{i}"))
     drop = lambda i: F.col(f"_size{i}").isNotNull() & ~outlier(i)
