@@ -168,7 +168,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     """`docs` with a column of token ids; null texts get an empty list."""
     keep = [c for c in docs.columns if c != ids]
     schema = docs.select(*keep).schema.add(ids, "array<int>", False)
-    return docs.select(*keep).mapInArrow(_rows(path, text, lambda c, x: (c.encode(x),), [pa.field(ids, pa.list_(pa.int32()))], keep), schema)
+    return docs.select(*keep).mapInArrow(lean(_rows(path, text, lambda c, x: (c.encode(x),), [pa.field(ids, pa.list_(pa.int32()))], keep)), schema)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -183,7 +183,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded")
             out = pa.array([None if x is None else c.decode(x) for x in lists], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*keep, text])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(lean(run), schema)
 
 
 def _digest(c: Codec, text: str) -> tuple:
@@ -197,4 +197,4 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     """Encode, then decode from the ids, each text; the number of ids and the digests of both forms."""
     fields = [pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_rows(path, "text", _digest, fields, ["doc_id"]), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(lean(_rows(path, "text", _digest, fields, ["doc_id"])), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

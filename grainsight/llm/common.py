@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,6 +15,22 @@ from pyspark.sql import functions as F
 CHUNK = 4096
 
 
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of Arrow batches, which hands memory back to the system when its task ends: workers are reused, and idle ones would keep what they once held."""
+
+    def ending(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+                if trim is not None:
+                    trim(0)
+
+    return ending
+
+
 def fold(key: Column | str, n: int) -> Column:
     """crc32 of a key as text, modulo n: a fold that doesn't depend on the order or number of rows."""
     return (F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % n).cast("int")
@@ -52,7 +70,7 @@ def sum_vectors(partial: DataFrame) -> dict[str, np.ndarray]:
         keys = list(total)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([total[k].tobytes() for k in keys], pa.binary())], ["name", "part", "values"])
 
-    rows = partial.repartition("name", "part").mapInArrow(add, VECTOR_SCHEMA).collect()
+    rows = partial.repartition("name", "part").mapInArrow(lean(add), VECTOR_SCHEMA).collect()
     found: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["name"], r["part"])):
         found.setdefault(r["name"], []).append(np.frombuffer(r["values"], np.float64))

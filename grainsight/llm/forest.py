@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 from .textcols import Words, mix, slices
 
 SHINGLE = 5
@@ -137,7 +137,7 @@ def _base(docs: DataFrame) -> DataFrame:
                 signature = pa.Array.from_buffers(pa.binary(width), part.num_rows, [None, pa.py_buffer(raw)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(first).astype(np.int64)), pa.array(d1), pa.array(d2), signature], ["key", "tid", "n", "d1", "d2", "signature"])
 
-    return docs.select("key", "text", "tid").mapInArrow(run, "key long, tid long, n long, d1 long, d2 long, signature binary")
+    return docs.select("key", "text", "tid").mapInArrow(lean(run), "key long, tid long, n long, d1 long, d2 long, signature binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -154,7 +154,7 @@ def _regions(rows: DataFrame) -> DataFrame:
                 keys = batch.column(0).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(keys, TREES))], ["label", "key"])
 
-    return rows.select("key", "signature").mapInArrow(run, "label long, key long")
+    return rows.select("key", "signature").mapInArrow(lean(run), "label long, key long")
 
 
 def _longer(members: DataFrame, rows: DataFrame, depth: int) -> DataFrame:
@@ -169,7 +169,7 @@ def _longer(members: DataFrame, rows: DataFrame, depth: int) -> DataFrame:
                 found = _of_order(mix(label * np.uint64(31) + value.astype(np.uint64)), order)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), batch.column(1)], ["label", "key"])
 
-    return members.join(rows.select("key", "signature"), "key").select("label", "key", "signature").mapInArrow(run, "label long, key long")
+    return members.join(rows.select("key", "signature"), "key").select("label", "key", "signature").mapInArrow(lean(run), "label long, key long")
 
 
 def _alike(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
@@ -183,7 +183,7 @@ def _alike(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
 
     of_leader = rows.select(F.col("key").alias("leader"), F.col("signature").alias("s1"))
     both = pairs.join(of_leader, "leader").join(rows.select("key", F.col("signature").alias("s2")), "key")
-    return both.select("leader", "key", "regions", "s1", "s2").mapInArrow(run, "leader long, key long, regions array<struct<label:long,members:long>>, alike boolean")
+    return both.select("leader", "key", "regions", "s1", "s2").mapInArrow(lean(run), "leader long, key long, regions array<struct<label:long,members:long>>, alike boolean")
 
 
 def common_prefix(ordered: np.ndarray) -> np.ndarray:
@@ -266,7 +266,7 @@ def candidates(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         mixed = near.select(F.explode("regions").alias("r")).select("r.*").where("members > 2").distinct()
         members = regions.join(mixed, "label")
         few = members.where(F.col("members") <= REGION).select("label", "key").join(rows.select("key", "signature"), "key").select("label", "key", "signature")
-        found.append(few.repartition("label").sortWithinPartitions("label").mapInArrow(_descend(depth, least), "leader long, key long"))
+        found.append(few.repartition("label").sortWithinPartitions("label").mapInArrow(lean(_descend(depth, least)), "leader long, key long"))
         if mixed.where(F.col("members") > REGION).isEmpty():
             break
         regions = cut(_longer(members.where(F.col("members") > REGION).select("label", "key"), rows, depth))
@@ -366,7 +366,7 @@ def _edge_batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
 def _against_hub(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (group, key, text, hub, hub_text): the distance to the hub, and whether it links."""
     known: tuple = (None, None)
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text")):
         distance, links = [], []
         value, first = shingle_sets(batch.column(2))
         for i, (hub, text) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
@@ -436,7 +436,7 @@ def _large_groups(members: DataFrame, rows: DataFrame, percent: int) -> DataFram
     hub_texts = hubs.join(members.select(F.col("key").alias("hub"), F.col("text").alias("hub_text")), "hub")
     parts = F.ceil(F.col("members") / GROUP).cast("int")
     seen = members.select("key", "text").join(dealt, "key").join(_spread(hub_texts, parts).drop("members"), ["group", "part"]).select("group", "key", "text", "hub", "hub_text")
-    judged = cut(seen.mapInArrow(lambda batches: _against_hub(batches, percent), "group long, key long, hub long, distance double, links boolean"))
+    judged = cut(seen.mapInArrow(lean(lambda batches: _against_hub(batches, percent)), "group long, key long, hub long, distance double, links boolean"))
     star = judged.where("links AND key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
     # those that the hub doesn't link, against all of the group that may be near them
     reach = 1 - percent / 100 + 1e-9
@@ -453,7 +453,7 @@ def _large_groups(members: DataFrame, rows: DataFrame, percent: int) -> DataFram
     asking = known.where("NOT links").select("group", "key", F.pmod(own, many).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("joined"))
     asked = known.select("group", "key", F.explode(F.sequence(F.lit(0), many - 1)).alias("i"), F.pmod(own, blocks).cast("int").alias("j"), F.lit(False).alias("asks"), F.col("links").alias("joined"))
     both = asking.unionByName(asked).join(texts, "key").select(F.xxhash64(*block).alias("block"), "asks", "key", "joined", "text")
-    links = both.repartition("block").sortWithinPartitions("block").mapInArrow(lambda batches: _blocks(batches, percent), "a long, b long")
+    links = both.repartition("block").sortWithinPartitions("block").mapInArrow(lean(lambda batches: _blocks(batches, percent)), "a long, b long")
     return star.unionByName(links)
 
 
@@ -476,7 +476,7 @@ def _found(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     large = sizes.where((F.col("n") > GROUP) | (F.col("bytes") > GROUP_BYTES)).select("group")
     small = members.join(large, "group", "left_anti").select("group", "key", "text")
-    few = small.repartition("group").sortWithinPartitions("group").mapInArrow(lambda batches: _small_groups(batches, percent), "a long, b long")
+    few = small.repartition("group").sortWithinPartitions("group").mapInArrow(lean(lambda batches: _small_groups(batches, percent)), "a long, b long")
     many = _large_groups(members.join(large, "group", "left_semi").select("group", "key", "text"), own, percent)
     roots = components(few.unionByName(many)).withColumnsRenamed({"node": "class"})
     by_class = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import VECTOR_SCHEMA, cut, sum_vectors, vector_rows
+from .common import VECTOR_SCHEMA, cut, lean, sum_vectors, vector_rows
 from .textcols import Words, mix, slices
 
 STATES = 8
@@ -169,7 +169,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if parts:
             yield _count_batch(add(parts))
 
-    rows = docs.mapInArrow(run, "h long, ending int, n long")
+    rows = docs.mapInArrow(lean(run), "h long, ending int, n long")
     return rows.groupBy("h").agg(F.first("ending").alias("ending"), F.sum("n").alias("n"))
 
 
@@ -379,7 +379,7 @@ def train(docs: DataFrame, v: Vocabulary, states: int = STATES, passes: int = PA
             yield from vector_rows(total)
 
         chosen = docs if step is None else docs.where(part == step)
-        counts = sum_vectors(chosen.select("text").mapInArrow(run, VECTOR_SCHEMA))
+        counts = sum_vectors(chosen.select("text").mapInArrow(lean(run), VECTOR_SCHEMA))
         p = maximise(counts, v.mass) if counts else p
         now.unpersist()
     return p
@@ -432,7 +432,7 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, p: Parameters) -> D
                     ["id", "n_tokens", "known", "base", "score", "rare", "times"],
                 )
 
-    rows = cut(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+    rows = cut(docs.mapInArrow(lean(run), schema).withColumn("row", F.monotonically_increasing_id()))
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("h"), F.col("r.times").alias("times"))
     found = rare.join(counts.select("h", "n"), "h").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"))
     more = F.coalesce("more", F.lit(0.0))

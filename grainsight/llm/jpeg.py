@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .textcols import buffer, slices
 
 #: Payload bytes a row of blocks.
@@ -362,7 +363,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 data, offsets = buffer(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(encode_many(data, offsets), pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
 
 
 def decode(media: DataFrame) -> DataFrame:
@@ -387,4 +388,4 @@ def decode(media: DataFrame) -> DataFrame:
                 names = ["width", "height", "thumbnail", "feature", "media_bytes", "media_sha256"]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], ["doc_id", "n_bytes", *names])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), schema)

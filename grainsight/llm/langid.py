@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import VECTOR_SCHEMA, sum_vectors, vector_rows
+from .common import VECTOR_SCHEMA, lean, sum_vectors, vector_rows
 from .textcols import LOWER, buffer, slices
 
 #: Trigram buckets a language, while there are few languages.
@@ -100,7 +100,7 @@ def train(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang"
                     total = {}
         yield from vector_rows(total)
 
-    counts = sum_vectors(rows.mapInArrow(count, VECTOR_SCHEMA))
+    counts = sum_vectors(rows.mapInArrow(lean(count), VECTOR_SCHEMA))
     languages = sorted(counts)
     table = np.array([counts[k] for k in languages]).reshape(len(languages), buckets).T
     return Model(languages, np.log((table + SMOOTHING) / (table.sum(0) + SMOOTHING * buckets)).astype(np.float32))
@@ -176,4 +176,4 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
                     shares.append([float(row[j]) for j in order])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(langs, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], [key, "lang_pred", "score", "langs", "shares"])
 
-    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(lean(run), schema)

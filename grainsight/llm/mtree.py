@@ -230,13 +230,13 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 5, key: str = "vec_id", vec
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array([v.tobytes() for v in found if v is not None], pa.binary()), pa.array([v.dtype == np.float64 for v in found if v is not None], pa.bool_())], ["id", "asks", "v", "large"])
 
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(asks, F.lit(False)).alias("asks"), F.col(vector).cast("array<double>").alias("v"))
-    rows = rows.mapInArrow(whole, "id long, asks boolean, v binary, large boolean")
+    rows = rows.mapInArrow(lean(whole), "id long, asks boolean, v binary, large boolean")
     blocks = max(1, -(-rows.count() // block))
     data = rows.distinct()
     dealt = data.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "id", "v", "large")
     queries = data.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "id", "v", "large")
     parts = dealt.unionByName(queries).repartition(blocks, "block").sortWithinPartitions("block", "asks", "id")
-    found = parts.mapInArrow(_answers(k), "query_id long, vec_id long, score long")
+    found = parts.mapInArrow(lean(_answers(k)), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 from .textcols import Words, slices
 
 MAX_LEN = 2048
@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, max_len: int = MAX_LEN, key: str = "doc_id", text: s
                 n = Words(part.column(1)).counts
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64))], [key, "n_words"])
 
-    words = docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n_words long")
+    words = docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(lean(run), f"`{key}` {dict(docs.dtypes)[key]}, n_words long")
     last = F.greatest(F.ceil(F.col("n_words") / max_len) - 1, F.lit(0)).cast("int")
     parts = words.select(key, "n_words", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     start = F.col("piece").cast("long") * max_len

@@ -41,6 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .textcols import Words, slices
 
 WINDOW = 13
@@ -396,8 +397,8 @@ def _texts(window: int, names: list[str]):
 
 def _anchor_hits(single: DataFrame, shares: int, window: int) -> DataFrame:
     """(key, h, frequent): the documents of each anchor that recurs."""
-    entries = single.mapInArrow(_send_anchors(shares, window), "place int, h binary, key binary, multi binary")
-    hits = entries.repartition("place").sortWithinPartitions("place").mapInArrow(_recurring(FREQUENT), "key long, h long, frequent boolean")
+    entries = single.mapInArrow(lean(_send_anchors(shares, window)), "place int, h binary, key binary, multi binary")
+    hits = entries.repartition("place").sortWithinPartitions("place").mapInArrow(lean(_recurring(FREQUENT)), "key long, h long, frequent boolean")
     # a phrase is frequent for all its documents, also for those that came back without its count; each has over FREQUENT entries, so they are few
     frequent = hits.where("frequent").select("h").distinct().withColumn("often", F.lit(True))
     return hits.select("key", "h").join(F.broadcast(frequent), "h", "left").select("key", "h", F.coalesce("often", F.lit(False)).alias("frequent"))
@@ -415,8 +416,8 @@ def _spans(docs: DataFrame, window: int) -> DataFrame:
     single = marked.where("NOT copy").select("key", "text", "tid")
     hits = _anchor_hits(single, shares, window)
     asked = hits.groupBy("key").agg(F.collect_list(F.struct("h", "frequent")).alias("hits"))
-    sent = marked.where("NOT copy").join(asked, "key").select("key", "text", "tid", "hits").mapInArrow(_passages(shares, window), "shard int, key long, tid long, start int, size int, words binary")
-    found = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(_locate(window), "key long, tid long, start int, size int")
+    sent = marked.where("NOT copy").join(asked, "key").select("key", "text", "tid", "hits").mapInArrow(lean(_passages(shares, window)), "shard int, key long, tid long, start int, size int, words binary")
+    found = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(lean(_locate(window)), "key long, tid long, start int, size int")
     spans = found.groupBy("key").agg(F.collect_list(F.struct("tid", "start", "size")).alias("spans"))
     return marked.join(spans, "key", "left")
 
@@ -429,7 +430,7 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) of each row; the kept words are joined by one space."""
     rows = _spans(_keyed(docs, key, text), window).select("key", "text", "tid", "copy", "spans")
-    out = rows.mapInArrow(_digests(window), "key long, n_words long, n_removed long, kept_sha256 string")
+    out = rows.mapInArrow(lean(_digests(window)), "key long, n_words long, n_removed long, kept_sha256 string")
     return out.withColumn("key", F.nullif("key", F.lit(LAST_KEY)))
 
 
@@ -444,5 +445,5 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     rows = rest.join(spans, (F.col("_key") == F.col("_k")) & (F.col("_tid") == F.col("_t")))
     rows = rows.select(F.col("_key").alias("key"), whole.alias("text"), F.col("_tid").alias("tid"), "copy", "spans", *names)
     schema = ", ".join(f"{n} {k}" for n, (_, k) in zip(names, docs.dtypes, strict=True)) + ", _kept string, _n_words long, _n_removed long"
-    out = rows.mapInArrow(_texts(window, names), schema).where("_n_removed = 0 OR _n_removed < _n_words")
+    out = rows.mapInArrow(lean(_texts(window, names)), schema).where("_n_removed = 0 OR _n_removed < _n_words")
     return out.select(*(F.col("_kept" if c == text else n).alias(c) for n, c in zip(names, docs.columns, strict=True)))

@@ -37,6 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import lean
 from .textcols import slices
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -217,4 +218,4 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array(np.rint(n).astype(np.int64)), pa.array(np.rint(marked).astype(np.int64))], [key, "score", "windows", "marked"])
 
-    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(lean(run), schema)
