@@ -72,7 +72,7 @@ def lighting_role(name: Column | str) -> Column:
 def quadrant(name: Column | str) -> Column:
     """The letter that a quadrant's number stands for."""
     n = _found(lighting_role(name), r"^quad([0-3])$")
-    return F.element_at(F.array(*map(F.lit, QUADRANTS)), n.cast("int") + 1)
+    return F.get(F.array(*map(F.lit, QUADRANTS)), n.cast("int"))
 
 
 def submap_as_written(name: Column | str) -> Column:

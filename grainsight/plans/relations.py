@@ -6,9 +6,17 @@ cells of 8 x 8 pixels; each comes with the SQL that makes the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry, names
+from ..sources import tiles
+from ..sources.tiles import PHOTO_SCHEMA, photo_batch, photo_row
+
 DET_SQL = """det AS (SELECT event_id AS id, ts, event_type,
   CASE event_type WHEN 'click' THEN 'N' WHEN 'view' THEN 'S' WHEN 'purchase' THEN 'E' WHEN 'signup' THEN 'W' ELSE 'all' END AS role,
   CAST(user_id % 5 + 1 AS INTEGER) AS tile_row, CAST(user_id % 7 AS INTEGER) AS tile_col,
@@ -46,3 +54,21 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = F.element_at(F.array(*map(F.lit, "NSEW")), (F.col("vec_id") % 4 + 1).cast("int"))
     pixels = F.transform("embedding", lambda v: F.floor((F.least(F.greatest(v.cast("double"), F.lit(-1.0)), F.lit(1.0)) + 1) * 127.5).cast("double"))
     return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 4).cast("long").alias("cell"), side.alias("side"), pixels.alias("pixels"))
+
+
+def photo_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The photos of 8 x 8 bytes as `PHOTO_SCHEMA`, by the path (cell)_side."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield photo_batch([photo_row(path, np.array(p, np.uint8).reshape(8, 8)) for path, p in zip(*(c.to_pylist() for c in batch.columns), strict=True)])
+
+    return photos(spark, sf_dir).select(F.format_string("%d_%s.png", "cell", "side").alias("path"), "pixels").mapInArrow(run, PHOTO_SCHEMA)
+
+
+def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, y0, x0, height, width): where the tiles of `det` lie, 512 x 400 pixels with a tenth of overlap."""
+    names_ = detections(spark, sf_dir).select(F.col("source_tile").alias("path")).distinct()
+    at = names_.select("path", names.parsed("path", names.GRID_PATTERN).alias("at"))
+    place = geometry.placement(F.col("at"), F.lit(512), F.lit(400), 0.1, F.col("row0"), F.col("col0"))
+    return at.join(F.broadcast(tiles.grid_origin(at))).select("path", place.alias("p")).select("path", "p.*")

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from grainsight.functions import names
 from grainsight.operators import capture, dedup, graph, report, review, spatial
-from grainsight.plans import queries
+from grainsight.plans import photo_queries, queries  # noqa: F401 - the first registers more queries
 from grainsight.plans.relations import detections
 from pyspark.sql import functions as F
 
@@ -41,6 +41,12 @@ def test_oracle(spark, small, name):
     assert rows_of(queries.QUERIES[name](spark, small).toPandas()) == rows_of(want)
 
 
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in queries.ORACLES])
+def test_without_sql(spark, small, name):
+    """They run, and give rows."""
+    assert queries.QUERIES[name](spark, small).count() > 0
+
+
 @pytest.mark.parametrize("radius, fraction", [(60.0, 0.0), (24.0, 0.001)])
 def test_greedy(spark, small, radius, fraction):
     det = detections(spark, small).where("id < 1000").select("id", "x", "y", "size", "confidence", "source_tile")
