@@ -154,3 +154,15 @@ def summary_name(input_dir: str) -> str:
     folder = re.split(r"[/\\]", input_dir.strip().strip("\"'").rstrip("/\\"))[-1]
     label = " ".join(re.sub(r'[/\\:*?"<>|]', " ", folder).split())
     return f"Summary of {label or 'run'}.pdf"
+
+
+def allocate_run(base: str, day: str) -> str:
+    """Makes and returns the folder of the day's next capture; of two that ask at once each gets its own."""
+    os.makedirs(base, exist_ok=True)
+    while True:
+        path = os.path.join(base, next_day_version(day, os.listdir(base)))
+        try:
+            os.mkdir(path)
+            return path
+        except FileExistsError:
+            continue

@@ -4,8 +4,9 @@ The greedy rule: in order of priority, a detection that no better one has taken
 becomes a seed and takes all free detections within their pair limit.  Which pairs
 may merge doesn't depend on the order, so the seeds are the lexicographically first
 maximal independent set, found in rounds of joins: whoever has no better
-undecided neighbour is a seed, and its neighbours are lost.  Priority is a total
-order: confidence descending, then tile, y, x and id.
+undecided neighbour is a seed, and its neighbours are lost.  After `ROUNDS` of them
+what is still open, chains of ever better detections, is decided component by
+component.  Priority is a total order: confidence descending, then tile, y, x and id.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .graph import connected_components
 from .spatial import limited_pairs
 
 PRIORITY = ("confidence", "source_tile", "y", "x", "id")
+#: Rounds of joins before components are decided one by one.
+ROUNDS = 8
 
 
 def priority(prefix: str = "") -> F.Column:
@@ -39,7 +42,16 @@ def slot_list(tiles: F.Column) -> F.Column:
     return F.struct(F.size(found).alias("count"), F.array_join(found, ",").alias("dirs"))
 
 
-def assign_seeds(rows: DataFrame, radius: float, fraction: float = 0.0, on: Sequence[str] = ()) -> DataFrame:
+def _lost(edges: pd.DataFrame) -> pd.DataFrame:
+    """Those of a component that a seed takes; edges go from the better to the worse and `p` is the better one's place in the order."""
+    lost, keys = set(), [tuple(p.values()) if isinstance(p, dict) else tuple(p) for p in edges["p"]]
+    for i in sorted(range(len(keys)), key=keys.__getitem__):
+        if edges["hi"].iat[i] not in lost:
+            lost.add(edges["lo"].iat[i])
+    return pd.DataFrame({"id": pd.Series(sorted(lost), dtype=edges["lo"].dtype)})
+
+
+def assign_seeds(rows: DataFrame, radius: float, fraction: float = 0.0, on: Sequence[str] = (), rounds: int = ROUNDS) -> DataFrame:
     """(id, seed): the seed that takes each detection, itself for seeds; columns id, x, y, size, confidence, source_tile and `on`."""
     slim = rows.select("id", "x", "y", "size", "confidence", "source_tile", *on)
     pairs = limited_pairs(slim.select("id", "x", "y", "size", *on), radius, fraction, on)
@@ -49,7 +61,9 @@ def assign_seeds(rows: DataFrame, radius: float, fraction: float = 0.0, on: Sequ
     first = F.col("pa") < F.col("pb")
     edges = cut(edges.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hi"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("lo"), F.least("pa", "pb").alias("p")))
     open_, decided = edges.select("hi", "lo"), []
-    while not open_.isEmpty():
+    for _ in range(rounds):
+        if open_.isEmpty():
+            break
         free = open_.select(F.col("hi").alias("id")).distinct().join(open_.select(F.col("lo").alias("id")).distinct(), "id", "left_anti")
         lost = open_.join(free.withColumnRenamed("id", "hi"), "hi", "left_semi").select(F.col("lo").alias("id")).distinct()
         lost = cut(lost)
@@ -58,6 +72,10 @@ def assign_seeds(rows: DataFrame, radius: float, fraction: float = 0.0, on: Sequ
         gone = lost.select(F.col("id").alias("lo"))
         left = open_.join(gone, "lo", "left_anti").join(gone.withColumnRenamed("lo", "hi"), "hi", "left_anti")
         open_ = cut(left.join(free.withColumnRenamed("id", "hi"), "hi", "left_anti"))
+    if not open_.isEmpty():
+        roots = connected_components(open_, "hi", "lo").withColumnsRenamed({"node": "hi"})
+        left = open_.join(roots, "hi").join(edges.select("hi", "lo", "p"), ["hi", "lo"])
+        decided.append(cut(left.select("root", "hi", "lo", "p").groupBy("root").applyInPandas(_lost, f"id {dict(rows.dtypes)['id']}")))
     if not decided:
         return slim.select("id", F.col("id").alias("seed"))
     lost = decided[0]

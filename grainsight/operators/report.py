@@ -54,3 +54,8 @@ def export_table(rows: DataFrame) -> DataFrame:
         raise ValueError(f"columns are missing: {', '.join(missing)}")
     um = lambda c: (F.rint(F.col(c) / 1000.0 * 10) / 10).alias(f"{c}_um")
     return rows.select("id", um("x_global"), um("y_global"), um("size"), "source_tile", "confidence")
+
+
+def preview(rows: DataFrame, n: int = 100) -> DataFrame:
+    """The first rows of a table by their ids, as a page shows them."""
+    return rows.orderBy("id").limit(n)

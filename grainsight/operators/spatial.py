@@ -33,11 +33,38 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, on: Sequence[st
     return pairs.select("l", "r", d2.alias("d2")).where(F.col("d2") <= F.lit(float(radius) * float(radius)))
 
 
+def self_pairs(rows: DataFrame, radius: float, on: Sequence[str] = (), key: str = "id", x: str = "x", y: str = "y") -> DataFrame:
+    """Each pair of different rows within `radius` once: columns l, r and d2; l has the smaller key.
+
+    A row goes to its own cell and four of its neighbours: the other four find it.
+    """
+    if radius < 0:
+        raise ValueError("a radius can't be negative")
+    width = float(radius) if radius > 0 else 1.0
+    cell = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+    keys = [f"_k{i}" for i in range(len(on))]
+    a = rows.select(F.struct("*").alias("a"), *(F.col(k).alias(n) for k, n in zip(on, keys, strict=True)), cell(x).alias("_cx"), cell(y).alias("_cy"))
+    half = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)))))
+    b = a.withColumnRenamed("a", "b").withColumn("_o", half)
+    own = (F.col("_o.i") == 0) & (F.col("_o.j") == 0)
+    b = b.select("b", *keys, (F.col("_cx") + F.col("_o.i")).alias("_cx"), (F.col("_cy") + F.col("_o.j")).alias("_cy"), own.alias("_own"))
+    pairs = a.join(b, [*keys, "_cx", "_cy"])
+    first = F.col(f"a.{key}") < F.col(f"b.{key}")
+    d2 = distance2(F.col(f"a.{x}"), F.col(f"a.{y}"), F.col(f"b.{x}"), F.col(f"b.{y}"))
+    near = pairs.withColumn("d2", d2).where((F.col("d2") <= F.lit(float(radius) ** 2)) & F.when(F.col("_own"), first).otherwise(F.col(f"a.{key}") != F.col(f"b.{key}")))
+    return near.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("l"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("r"), "d2")
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """Pairs l, r, d2 and the same turned round."""
+    ways = F.explode(F.array(F.struct("l", "r"), F.struct(F.col("r").alias("l"), F.col("l").alias("r"))))
+    return pairs.select(ways.alias("_w"), "d2").select("_w.l", "_w.r", "d2")
+
+
 def neighbour_counts(rows: DataFrame, radius: float, on: Sequence[str] = (), key: str = "id", x: str = "x", y: str = "y", name: str = "neighbours") -> DataFrame:
     """`rows` with the number of other rows within `radius`."""
-    slim = rows.select(key, *on, x, y)
-    pairs = range_join(slim, slim, radius, on, x, y).where(F.col(f"l.{key}") != F.col(f"r.{key}"))
-    counts = pairs.groupBy(F.col(f"l.{key}").alias(key)).agg(F.count("*").alias(name))
+    pairs = self_pairs(rows.select(key, *on, x, y), radius, on, key, x, y)
+    counts = pairs.select(F.explode(F.array(f"l.{key}", f"r.{key}")).alias(key)).groupBy(key).agg(F.count("*").alias(name))
     return rows.join(counts, key, "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
 
 
@@ -55,11 +82,35 @@ def search_radius(radius: float, fraction: float, *tables: DataFrame, size: str
 
 
 def limited_pairs(rows: DataFrame, radius: float, fraction: float, on: Sequence[str] = (), key: str = "id", x: str = "x", y: str = "y", size: str = "size") -> DataFrame:
-    """Pairs of different rows within their pair limit: l, r, d2."""
+    """Pairs of different rows within their pair limit, both ways: l, r, d2.
+
+    Rows are classed by their own limit, by powers of two, with a grid as wide as the
+    limit for each class.  The row of larger limit looks among those of its class and
+    the ones below, so one huge row widens no other's search.  The driver sees the
+    classes that occur, a few dozen at most.
+    """
     slim = rows.select(key, *on, x, y, size)
-    found = range_join(slim, slim, search_radius(radius, fraction, rows, size=size), on, x, y)
+    if fraction <= 0:
+        return both_ways(self_pairs(slim, radius, on, key, x, y))
+    base = float(radius) if radius > 0 else 1.0
+    own = F.greatest(F.lit(float(radius)), F.lit(float(fraction)) * F.col(size))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(own / base) - 1e-12)).cast("int")
+    classed = slim.select(F.struct("*").alias("s"), level.alias("c"))
+    classes = sorted(r["c"] for r in classed.where("c IS NOT NULL").select("c").distinct().collect())
+    at = lambda c: F.floor(F.col(f"s.{c}") / (F.lit(base) * F.pow(F.lit(2.0), F.col("g")))).cast("long")
+    keys = [f"_k{i}" for i in range(len(on))]
+    groups = [F.col(f"s.{k}").alias(n) for k, n in zip(on, keys, strict=True)]
+    near = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    big = classed.withColumn("g", F.col("c")).select(F.col("s").alias("l"), F.col("c").alias("lc"), *groups, "g", at(x).alias("_x"), at(y).alias("_y"), near.alias("o"))
+    big = big.select("l", "lc", *keys, "g", (F.col("_x") + F.col("o.i")).alias("cx"), (F.col("_y") + F.col("o.j")).alias("cy"))
+    levels = F.array(*map(F.lit, classes)).cast("array<int>")
+    small = classed.withColumn("g", F.explode(F.filter(levels, lambda g: g >= F.col("c")))).select(F.col("s").alias("r"), F.col("c").alias("rc"), *groups, "g", at(x).alias("cx"), at(y).alias("cy"))
+    d2 = distance2(F.col(f"l.{x}"), F.col(f"l.{y}"), F.col(f"r.{x}"), F.col(f"r.{y}"))
     limit = pair_limit(radius, fraction, F.col(f"l.{size}"), F.col(f"r.{size}"))
-    return found.where((F.col(f"l.{key}") != F.col(f"r.{key}")) & (F.col("d2") <= limit * limit))
+    found = big.join(small, [*keys, "g", "cx", "cy"]).withColumn("d2", d2).where((F.col("d2") <= limit * limit) & (F.col(f"l.{key}") != F.col(f"r.{key}")))
+    # pairs of one class are found from both ends
+    ways = F.when(F.col("lc") == F.col("rc"), F.array(F.struct("l", "r"))).otherwise(F.array(F.struct("l", "r"), F.struct(F.col("r").alias("l"), F.col("l").alias("r"))))
+    return found.select(F.explode(ways).alias("_w"), "d2").select("_w.l", "_w.r", "d2")
 
 
 def nearest_join(left: DataFrame, right: DataFrame, radius: float, on: Sequence[str] = (), key: str = "id", right_key: str = "id", x: str = "x", y: str = "y") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spatial import neighbour_counts, range_join
+from .spatial import both_ways, neighbour_counts, self_pairs
 
 SIZE_RATIO = 1.30
 SNR_RATIO = 2.5
@@ -18,7 +18,7 @@ def reject_clustered(rows: DataFrame, radius: float, least: int = 2, size_ratio:
     if radius <= 0 or least <= 0:
         return rows
     slim = rows.select(key, *on, x, y, size, *([snr] if snr else []))
-    pairs = range_join(slim, slim, radius, on, x, y).where(F.col(f"l.{key}") != F.col(f"r.{key}"))
+    pairs = both_ways(self_pairs(slim, radius, on, key, x, y))
     of = [F.count("*").alias("_n"), F.median(f"r.{size}").alias("_size")]
     if snr:
         of.append(F.median(f"r.{snr}").alias("_snr"))

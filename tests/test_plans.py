@@ -55,6 +55,28 @@ def test_greedy(spark, small, radius, fraction):
     assert sum(a != b for a, b in want.items()) > 10
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 8])
+def test_greedy_chain(spark, rounds):
+    """A chain of ever better detections, decided in rounds and by component."""
+    chain = [(i, 5.0 * i, 0.0, 1.0, float(i % 97), "t") for i in range(300)]
+    df = spark.createDataFrame(chain, "id long, x double, y double, size double, confidence double, source_tile string")
+    want = dict(brute_force([r.asDict() for r in df.collect()], 6.0))
+    assert {r.id: r.seed for r in dedup.assign_seeds(df, 6.0, rounds=rounds).collect()} == want
+
+
+def test_limited_pairs(spark):
+    """Sizes over many powers of two, one of them huge; both ways, each pair once."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, rng.uniform(0, 300), rng.uniform(0, 300), 10 ** rng.uniform(-1, 2.3)) for i in range(150)] + [(999, 150.0, 150.0, 2000.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, size double")
+    for radius, fraction in ((5.0, 0.4), (5.0, 0.0), (0.0, 0.4)):
+        got = [(r.a, r.b) for r in spatial.limited_pairs(df, radius, fraction).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).collect()]
+        want = {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 <= max(radius, fraction * max(a[3], b[3])) ** 2}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_slot_clusters(spark):
     """At most one member a slot, the nearest first; tiles without a slot are never taken."""
     rows = [(1, 0.0, 0.0, 5.0, 9.0, "N.png"), (2, 3.0, 0.0, 5.0, 8.0, "S.png"), (3, 1.0, 0.0, 5.0, 7.0, "S.png"), (4, 1.0, 1.0, 5.0, 6.0, "other.png"), (5, 100.0, 0.0, 5.0, 1.0, "E.png")]
