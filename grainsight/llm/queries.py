@@ -24,7 +24,8 @@ def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.removals(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+    found = lines.removals(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+    return found.withColumn("removed", F.array_join("removed", ","))
 
 
 def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +83,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op1_packing": packing.sql(),
+    "op2_repeats": repeats.sql(),
+    "op5_lines": lines.SQL,
     "op6_mtree": mtree.SQL,
 }

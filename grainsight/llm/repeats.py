@@ -51,6 +51,9 @@ ANCHOR = 6
 SHARE = 8 << 20
 #: An anchor that more slices than that have is frequent.
 FREQUENT = 2000
+#: Copies of a text from which on they are dealt to parts, and the parts.
+HOT = 1000
+SALTS = 64
 LAST_KEY = (1 << 63) - 1
 
 
@@ -404,13 +407,26 @@ def _anchor_hits(single: DataFrame, shares: int, window: int) -> DataFrame:
     return hits.select("key", "h").join(F.broadcast(frequent), "h", "left").select("key", "h", F.coalesce("often", F.lit(False)).alias("frequent"))
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """(key, tid, copy) of the texts that a document with a smaller key has too.
+
+    Rows of digests that more than `HOT` texts have are dealt to `SALTS` parts, so no
+    task meets all copies of one text.
+    """
+    salt = F.pmod(F.xxhash64("key", "tid"), F.lit(SALTS)).cast("int")
+    digest = docs.where(F.octet_length("text") > 0).select("key", "tid", F.unhex(F.md5("text")).alias("digest"))
+    first = digest.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    hot = first.where(F.col("n") > HOT).select("digest", F.col("first").alias("hot"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = digest.withColumn("salt", salt).join(hot, ["digest", "salt"], "left")
+    few = dealt.where("hot IS NULL").join(first.where(F.col("n") <= HOT).select("digest", "first"), "digest").where("key > first")
+    return dealt.where("key > hot").select("key", "tid").unionByName(few.select("key", "tid")).distinct().withColumn("copy", F.lit(True))
+
+
 def _spans(docs: DataFrame, window: int) -> DataFrame:
     """docs (key, text, tid) with copy (an equal text has a smaller key) and spans (repeated words)."""
     size = docs.select(F.sum(F.octet_length("text"))).head()[0] or 0
     shares = 1 << max(3, (size // SHARE).bit_length())
-    digest = docs.where(F.octet_length("text") > 0).select("key", "tid", F.unhex(F.md5("text")).alias("digest"))
-    first = digest.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = digest.join(first, "digest").where("key > first").select("key", "tid", F.lit(True).alias("copy")).distinct()
+    copies = _copies(docs)
     marked = docs.join(copies, ["key", "tid"], "left").select("key", "text", "tid", F.coalesce("copy", F.lit(False)).alias("copy"))
     # the same columns as below, so that the plan shuffles the texts once and reads that exchange three times
     single = marked.where("NOT copy").select("key", "text", "tid")
@@ -447,3 +463,22 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     schema = ", ".join(f"{n} {k}" for n, (_, k) in zip(names, docs.dtypes, strict=True)) + ", _kept string, _n_words long, _n_removed long"
     out = rows.mapInArrow(lean(_texts(window, names)), schema).where("_n_removed = 0 OR _n_removed < _n_words")
     return out.select(*(F.col("_kept" if c == text else n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
+
+
+def sql(window: int = WINDOW) -> str:
+    """The digests in DuckDB's SQL, over all windows of all texts."""
+    return f"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), x AS (
+  SELECT doc_id, i, array_to_string(words[i:i + {window - 1}], ' ') AS passage FROM (SELECT doc_id, words, unnest(range(1, len(words) - {window - 2})) AS i FROM w)
+), f AS (
+  SELECT passage, min(doc_id) AS first FROM x GROUP BY passage
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + {window})) AS i FROM x JOIN f USING (passage) WHERE first < doc_id
+), kept AS (
+  SELECT v.doc_id, string_agg(word, ' ' ORDER BY v.i) AS text, count(*) AS n
+  FROM (SELECT doc_id, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM w) v ANTI JOIN gone ON v.doc_id = gone.doc_id AND v.i = gone.i GROUP BY v.doc_id
+)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""

@@ -1,5 +1,9 @@
 """Substring dedup on planted rows: frequent phrases, repeated and null keys."""
 
+import hashlib
+import random
+
+import pytest
 from grainsight.llm import repeats
 
 PASSAGE = " ".join(f"p{k}" for k in range(30))
@@ -41,3 +45,36 @@ def test_frequent_once(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(3, "doc_id")
     hits = repeats._anchor_hits(repeats._keyed(docs, "doc_id", "text"), 8, 13).collect()
     assert hits and all(r.frequent for r in hits)
+
+
+@pytest.mark.parametrize("hot", [repeats.HOT, 1])
+def test_brute_force(spark, monkeypatch, hot):
+    """Shared passages that overlap, copies, repeated and null keys, texts of all lengths; also with every copied text dealt to parts."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = random.Random(12)
+    passages = [[f"s{p}x{k}" for k in range(rng.randint(10, 60))] for p in range(12)]
+    rows = []
+    for i in range(120):
+        words = []
+        for _ in range(rng.randint(0, 5)):
+            if rng.random() < 0.6:
+                p = rng.choice(passages)
+                a = rng.randrange(len(p))
+                words += p[a : a + rng.randint(1, 40)]
+            else:
+                words += [f"o{rng.randint(0, 10**6)}" for _ in range(rng.randint(1, 20))]
+        rows.append((rng.choice([None, i, i, i, i // 3]), rng.choice([" ", "\n", "  "]).join(words)))
+    rows += [(500 + i, rows[7][1] + " end") for i in range(9)] + [(600 + i, rows[8][1]) for i in range(9)] + [(700, None), (701, ""), rows[3]]
+    last = repeats.LAST_KEY
+    first = {}
+    for k, t in sorted(rows, key=lambda r: last if r[0] is None else r[0]):
+        w = (t or "").split()
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), last if k is None else k)
+    want = []
+    for k, t in rows:
+        w = (t or "").split()
+        gone = {j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < (last if k is None else k) for j in range(i, i + 13)}
+        want.append((str(k), len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()))
+    got = repeats.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert sorted((str(r.key), r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
