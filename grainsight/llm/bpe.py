@@ -27,6 +27,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+from .textcols import slices
+
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -155,7 +158,7 @@ def codec(path: str) -> Codec:
 def _rows(path: str, text: str, row: Callable[[Codec, str], tuple], fields: list[pa.Field], keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text)):
             rows = [row(c, x or "") for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)]
             kept = [batch.column(batch.schema.get_field_index(k)) for k in keep]
