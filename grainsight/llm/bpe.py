@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from .common import lean
 from .textcols import slices
@@ -170,14 +171,14 @@ def _rows(path: str, text: str, row: Callable[[Codec, str], tuple], fields: list
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """`docs` with a column of token ids; null texts get an empty list."""
     keep = [c for c in docs.columns if c != ids]
-    schema = docs.select(*keep).schema.add(ids, "array<int>", False)
+    schema = docs.select(*keep).schema.add(ids, ArrayType(IntegerType()), False)
     return docs.select(*keep).mapInArrow(lean(_rows(path, text, lambda c, x: (c.encode(x),), [pa.field(ids, pa.list_(pa.int32()))], keep)), schema)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """`docs` with the text of a column of token ids; a null list gives a null text."""
     keep = [c for c in docs.columns if c != text]
-    schema = docs.select(*keep).schema.add(text, "string", True)
+    schema = docs.select(*keep).schema.add(text, StringType(), True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
