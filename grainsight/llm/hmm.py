@@ -286,7 +286,7 @@ class Lanes:
 def expected_counts(tokens: Tokens, p: Parameters) -> dict[str, np.ndarray]:
     """Baum-Welch counts of one slice: forward and backward over whole texts, all stretches in lockstep."""
     lanes, s = Lanes(tokens), len(p.start)
-    emit = np.ascontiguousarray(p.emit.T)
+    emit, one = np.ascontiguousarray(p.emit.T), np.ones(s)
     # messages across stretches, for texts that have several
     before, after = np.zeros((len(lanes.start), s)), np.ones((len(lanes.start), s))
     if not lanes.last.all():
@@ -310,10 +310,10 @@ def expected_counts(tokens: Tokens, p: Parameters) -> dict[str, np.ndarray]:
         n, c = lanes.live[t], lanes.classes(t)
         e = emit[c]
         a = np.where(lanes.first[:, None], p.start, before @ p.move) * e if t == 0 else (a[:n] @ p.move) * e
-        a /= a.sum(1, keepdims=True)
+        a /= (a @ one)[:, None]
         alpha.append(a)
         seen.append((c, e))
-    counts, move = np.zeros((s, CLASSES)), np.zeros((s, s))
+    move, chances = np.zeros((s, s)), []
     beta = after
     for t in range(lanes.steps - 1, -1, -1):
         n = lanes.live[t]
@@ -321,12 +321,14 @@ def expected_counts(tokens: Tokens, p: Parameters) -> dict[str, np.ndarray]:
             m = lanes.live[t + 1]
             be = beta[:m] * seen[t + 1][1]
             move += _moves(alpha[t][:m], be, p)
-            beta[:m] = be @ p.move.T
-            beta[:m] /= beta[:m].sum(1, keepdims=True)
+            back = be @ p.move.T
+            beta[:m] = back / (back @ one)[:, None]
         g = alpha[t] * beta[:n]
-        g /= g.sum(1, keepdims=True)
-        for k in range(s):
-            counts[k] += np.bincount(seen[t][0], g[:, k], CLASSES)
+        g /= (g @ one)[:, None]
+        chances.append(g)
+    classes = np.concatenate([c for c, _ in reversed(seen)]) if seen else np.zeros(0, np.int32)
+    every = np.concatenate(chances) if chances else np.zeros((0, s))
+    counts = np.stack([np.bincount(classes, every[:, k], CLASSES) for k in range(s)])
     if lanes.steps and not lanes.first.all():  # the moves between stretches
         later = ~lanes.first
         move += _moves(before[later], (beta * seen[0][1])[later], p)
@@ -335,8 +337,8 @@ def expected_counts(tokens: Tokens, p: Parameters) -> dict[str, np.ndarray]:
 
 def _moves(alpha: np.ndarray, be: np.ndarray, p: Parameters) -> np.ndarray:
     """Expected moves from states `alpha` to states weighed by `be`, but for the factor of the move itself."""
-    norm = 1.0 / ((alpha @ p.move) * be).sum(1)
-    return (alpha * norm[:, None]).T @ be
+    norm = ((alpha @ p.move) * be) @ np.ones(len(p.start))
+    return (alpha / norm[:, None]).T @ be
 
 
 def _added(total: dict[str, np.ndarray], more: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
