@@ -1,15 +1,20 @@
 """Exact top-k search by M-tree (operator 6).
 
-Vectors are dealt into blocks of bounded size; each task builds an M-tree over
-its block and streams all queries through it, so that every query meets every
-row, block by block.  A tree's nodes are pages: arrays of entries with their
-covering radii and their distances to the page's parent object.  Search is
-best-first; an entry whose stored parent distance already puts it out of reach by
-the triangle inequality is skipped without computing its distance.
+The upper level of the tree has `PIVOTS` routing objects, drawn by hash: a fixed
+number, which every task knows with their covering radii.  Each vector goes to its
+nearest one's subtree, which is dealt to blocks of bounded size, each a tree of its
+own in one task.  A query first searches the subtree nearest to it; its k-th score
+there bounds the distance beyond which the other subtrees' radii rule them out, and
+only those that remain see it.
+
+A tree's nodes are pages: arrays of entries with their covering radii and their
+distances to the page's parent object.  Search is best-first; an entry whose stored
+parent distance already puts it out of reach by the triangle inequality is skipped
+without computing its distance.
 
 The largest inner product becomes the smallest Euclidean distance when each
-vector gets one more coordinate that brings all of a block to the same norm and
-is 0 for queries.  Bounds leave room for rounding; scores are exact integers.
+vector gets one more coordinate that brings all to the same norm and is 0 for
+queries.  Bounds leave room for rounding; scores are exact integers.
 
 Defined results: vectors that are null or hold null or non-finite components, and
 rows with a null id, take no part; equal scores rank by id; rows that repeat id and
@@ -25,6 +30,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 from fractions import Fraction
 
 import numpy as np
@@ -32,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import cut, lean
 
 #: Entries of a page, at most.
 PAGE = 256
 #: Entries of an inner page; a power of two.
 FANOUT = 16
 BLOCK = 4096
+#: Routing objects of the upper level.
+PIVOTS = 64
 #: Fixed value: components are scaled by this and rounded down.
 SCALE = 256.0
 #: Scaled components from here on don't go into trees.
@@ -218,29 +226,128 @@ def _answers(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, asks: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+@dataclass
+class Upper:
+    """The upper level: pivots with their lifts, the common norm, and each subtree's radius and blocks."""
+
+    pivots: np.ndarray
+    most: float
+    radius: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    blocks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    def __post_init__(self):
+        self.norm = (self.pivots * self.pivots).sum(1)
+        self.lift = np.sqrt(np.maximum(self.most - self.norm, 0))
+        self.slack = 1e-7 * (1.0 + self.most**0.5)
+
+    def matrix(self, vectors: list[bytes]) -> np.ndarray:
+        x = _matrix(vectors).astype(np.float64)
+        width = self.pivots.shape[1]
+        return np.pad(x, ((0, 0), (0, max(0, width - x.shape[1]))))[:, :width] if x.shape[1] != width else x
+
+    def distances(self, vectors: list[bytes], asking: bool) -> np.ndarray:
+        """Vectors x pivots; vectors that ask have no lift."""
+        x = self.matrix(vectors)
+        norm = np.array([float((np.frombuffer(v, np.int32).astype(np.float64) ** 2).sum()) for v in vectors])
+        lift = np.zeros(len(x)) if asking else np.sqrt(np.maximum(self.most - norm, 0))
+        d = norm[:, None] + self.norm[None, :] - 2 * (x @ self.pivots.T) + (lift[:, None] - self.lift[None, :]) ** 2
+        return np.sqrt(np.maximum(d, 0))
+
+
+def _dealt(shared):
+    """(id, asks, v, large, subtree, distance): each vector's subtree; large ones have their own, which is -1."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            subtree, distance = np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows)
+            at = np.flatnonzero(~batch.column(3).to_numpy(zero_copy_only=False))
+            if len(at):
+                d = shared.value.distances([batch.column(2)[i].as_py() for i in at.tolist()], False)
+                subtree[at] = d.argmin(1)
+                distance[at] = d.min(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(subtree), pa.array(distance)], ["id", "asks", "v", "large", "subtree", "distance"])
+
+    return run
+
+
+def _visits(shared, k: int):
+    """(block, id, v, large): the blocks that a query must still see; rows (id, v, large, subtree, least), least: its k-th score or null."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up = shared.value
+        first = np.concatenate([[0], np.cumsum(up.blocks)])
+        for batch in batches:
+            for i, v, large, subtree, least in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                open_ = np.ones(len(up.blocks), bool)
+                open_[subtree] = False  # also -1, the last: large vectors
+                if subtree >= 0 and least is not None:
+                    q = np.frombuffer(v, np.int32).astype(np.float64)
+                    reach = max(float(q @ q) + up.most - 2.0 * least, 0.0) ** 0.5
+                    open_[:-1] &= up.distances([v], True)[0] - up.radius <= reach + 2 * up.slack
+                if subtree < 0:
+                    open_[-1] = False
+                blocks = np.concatenate([np.arange(first[g], first[g + 1]) for g in np.flatnonzero(open_)]) if open_.any() else np.zeros(0, np.int64)
+                n = len(blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(blocks.astype(np.int32)), pa.array([i] * n, pa.int64()), pa.array([v] * n, pa.binary()), pa.array([large] * n, pa.bool_())], ["block", "id", "v", "large"])
+
+    return run
+
+
+def _searched(data: DataFrame, queries: DataFrame, k: int, blocks: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each block for each query that visits it; data and queries: (block, id, v, large)."""
+    names = ["block", "asks", "id", "v", "large"]
+    both = data.withColumn("asks", F.lit(False)).select(names).unionByName(queries.withColumn("asks", F.lit(True)).select(names))
+    parts = both.repartition(max(1, blocks), "block").sortWithinPartitions("block", "asks", "id")
+    return parts.mapInArrow(lean(_answers(k)), "query_id long, vec_id long, score long")
+
+
+def top_k(vectors: DataFrame, asks: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where `asks` holds, the k rows of largest inner product.
 
-    The number of pairs of queries and blocks grows with both, as an exact search
-    over all rows must; each pair is one row of the shuffle.
+    The driver sees `pivots` vectors and a row for each of their subtrees.
     """
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = integers(batch, 2)
             keep = pa.array([v is not None for v in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array([v.tobytes() for v in found if v is not None], pa.binary()), pa.array([v.dtype == np.float64 for v in found if v is not None], pa.bool_())], ["id", "asks", "v", "large"])
+            kept = [v for v in found if v is not None]
+            large = [v.dtype == np.float64 for v in kept]
+            norm = [0.0 if x else float((v.astype(np.float64) ** 2).sum()) for v, x in zip(kept, large, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array([v.tobytes() for v in kept], pa.binary()), pa.array(large, pa.bool_()), pa.array(norm, pa.float64())], ["id", "asks", "v", "large", "norm"])
 
+    sc = vectors.sparkSession.sparkContext
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(asks, F.lit(False)).alias("asks"), F.col(vector).cast("array<double>").alias("v"))
-    rows = rows.mapInArrow(lean(whole), "id long, asks boolean, v binary, large boolean")
-    blocks = max(1, -(-rows.count() // block))
-    data = rows.distinct()
-    dealt = data.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "id", "v", "large")
-    queries = data.where("asks").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "id", "v", "large")
-    parts = dealt.unionByName(queries).repartition(blocks, "block").sortWithinPartitions("block", "asks", "id")
-    found = parts.mapInArrow(lean(_answers(k)), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    data = cut(rows.mapInArrow(lean(whole), "id long, asks boolean, v binary, large boolean, norm double").distinct())
+    drawn = [r["v"] for r in data.where("NOT large").orderBy(F.xxhash64("id", "v"), "id").limit(pivots).select("v").collect()]
+    most, longest = data.agg(F.max("norm"), F.max(F.when(~F.col("large"), F.octet_length("v")))).head()
+    up = Upper(np.pad(_matrix([bytes(v) for v in drawn]).astype(np.float64), ((0, 0), (0, max(0, (longest or 0) // 4 - max((len(v) // 4 for v in drawn), default=0))))), float(most or 0.0))
+    tree = cut(data.drop("norm").mapInArrow(lean(_dealt(sc.broadcast(up))), "id long, asks boolean, v binary, large boolean, subtree int, distance double")) if drawn else data.select("id", "asks", "v", "large", F.lit(-1).alias("subtree"), F.lit(0.0).alias("distance"))
+    n = len(up.pivots)
+    radius, blocks = np.zeros(n), np.zeros(n + 1, np.int64)
+    for r in tree.groupBy("subtree").agg(F.max("distance").alias("radius"), F.count("*").alias("n")).collect():
+        blocks[r["subtree"]] = -(-r["n"] // block)  # the last is that of large vectors
+        if r["subtree"] >= 0:
+            radius[r["subtree"]] = r["radius"] + up.slack
+    up.radius, up.blocks = radius, blocks
+    total, first = int(blocks.sum()), np.concatenate([[0], np.cumsum(blocks)])
+    # the driver's numbers as expressions over the few subtrees
+    of = F.when(F.col("subtree") < 0, n).otherwise(F.col("subtree"))
+    start, parts = (F.get(F.array(*(F.lit(int(x)) for x in v)), of).cast("int") for v in (first[:-1], np.maximum(blocks, 1)))
+    placed = tree.withColumn("block", (start + F.pmod(F.xxhash64("id"), parts)).cast("int"))
+    data_rows = placed.select("block", "id", "v", "large")
+    queries = tree.where("asks")
+    own = queries.select("id", "v", "large", F.explode(F.sequence(start, start + parts - 1)).alias("block"))
+    near = cut(_searched(data_rows, own, k, total))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = F.row_number().over(order)
+    bar = near.withColumn("rank", ranked).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+    # rows that share an id are one query for the bar of neither
+    alone = queries.groupBy("id").agg(F.count("*").alias("n")).where("n = 1").select("id")
+    asked = queries.join(bar.join(alone, "id", "left_semi"), "id", "left").select("id", "v", "large", "subtree", "least")
+    visits = asked.mapInArrow(lean(_visits(sc.broadcast(up), k)), "block int, id long, v binary, large boolean")
+    found = near.unionByName(_searched(data_rows, visits, k, total))
+    return found.withColumn("rank", ranked).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """

@@ -22,9 +22,9 @@ def brute(rows, k=5, every=50):
     return {(i, r + 1): (j, -s) for i, found in out.items() for r, (s, j) in enumerate(found)}
 
 
-def got(spark, rows, block=64):
+def got(spark, rows, block=64, pivots=8):
     df = spark.createDataFrame([(i, v, "x", 0) for i, v in rows], SCHEMA)
-    return {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in mtree.top_k(df, F.col("vec_id") % 50 == 0, block=block).collect()}
+    return {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in mtree.top_k(df, F.col("vec_id") % 50 == 0, block=block, pivots=pivots).collect()}
 
 
 def vectors(n, seed=0, width=8):
@@ -55,6 +55,39 @@ def test_large_components(spark):
         got(spark, rows)
 
 
+@pytest.mark.parametrize(("block", "pivots"), [(16, 3), (64, 20), (4096, 64)])
+def test_subtrees(spark, block, pivots):
+    """Clustered vectors, whatever the sizes of blocks and of the upper level; ids that come twice with unlike vectors."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 4, (12, 8))
+    rows = [(i, (centres[i % 12] + rng.normal(0, 0.1, 8)).astype(np.float32).tolist()) for i in range(600)]
+    assert got(spark, rows, block, pivots) == brute(rows)
+
+
+def test_bounds_spare_visits(spark, monkeypatch):
+    """Queries of a clustered table see few of the subtrees."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 1, (16, 6))
+    centres *= 900 / np.linalg.norm(centres, axis=1, keepdims=True)
+    x = np.floor(centres[rng.integers(0, 16, 3000)] + rng.normal(0, 3, (3000, 6))).astype(np.int32)
+    vectors = [v.tobytes() for v in x]
+    most = float((x.astype(float) ** 2).sum(1).max())
+    up = mtree.Upper(x[:64].astype(float), most)
+    d = up.distances(vectors, False)
+    up.radius = np.array([d[d.argmin(1) == g, g].max(initial=0.0) for g in range(64)]) + up.slack
+    up.blocks = np.ones(65, np.int64)
+    q = x[100].astype(np.int64)
+    mine = sorted((x[d.argmin(1) == d[100].argmin()].astype(np.int64) @ q).tolist(), reverse=True)
+    least = mine[min(5, len(mine) - 1)]
+
+    class Shared:
+        value = up
+
+    batch = mtree.pa.RecordBatch.from_arrays([mtree.pa.array([100]), mtree.pa.array([vectors[100]], mtree.pa.binary()), mtree.pa.array([False]), mtree.pa.array([int(d[100].argmin())]), mtree.pa.array([least])], ["id", "v", "large", "subtree", "least"])
+    seen = sum(b.num_rows for b in mtree._visits(Shared, 5)([batch]))
+    assert seen < 40
+
+
 def test_bounds_spare_work():
     """The tree looks at few of the vectors of a clustered table, and finds the same."""
     rng = np.random.default_rng(3)
