@@ -19,9 +19,10 @@ it does once in 24,000, and at 12 values once in 120, unless it stands side by s
 Candidates form groups, in which links are confirmed on the full sets: small
 groups all at once, in one task each.  In a large group, each member is first
 compared with the group's hub, the member that shares most regions with the
-others, wherever the member lies; only members that the hub doesn't link are then
-compared with the rest of the group, block by block, leaving out members that
-the triangle inequality of the Jaccard distance puts out of reach.  No group is
+others, wherever the member lies; members that the hub doesn't link are compared
+with a block of linked ones, then with more, and only those without a link there
+with all the rest of the group, block by block, leaving out members that the
+triangle inequality of the Jaccard distance puts out of reach.  No group is
 gathered in one task and none is cut.
 
 Equal sets are one class from the start, represented by the row of smallest key and
@@ -62,6 +63,8 @@ REGION = 4096
 #: A group of more members or bytes is compared by hub and blocks.
 GROUP = 256
 GROUP_BYTES = 16 << 20
+#: Blocks of linked members that the others of a group are compared with before all of it, first and then.
+SHARES = (1, 4)
 #: Parts that a group's rows are dealt to before its size is known.
 SALTS = 64
 LAST_KEY = (1 << 63) - 1
@@ -438,23 +441,35 @@ def _large_groups(members: DataFrame, rows: DataFrame, percent: int) -> DataFram
     seen = members.select("key", "text").join(dealt, "key").join(_spread(hub_texts, parts).drop("members"), ["group", "part"]).select("group", "key", "text", "hub", "hub_text")
     judged = cut(seen.mapInArrow(lean(lambda batches: _against_hub(batches, percent)), "group long, key long, hub long, distance double, links boolean"))
     star = judged.where("links AND key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
-    # those that the hub doesn't link, against all of the group that may be near them
+    own, texts, found = F.xxhash64("key"), members.select("key", "text"), [star]
+    state = cut(judged.join(dealt, ["group", "key"]).select("group", "key", "part", "distance", "links"))
+    # those that the hub doesn't link, against a few blocks of those that are linked: one link is enough
+    for share in SHARES:
+        split = state.groupBy("group").agg(F.sum(F.col("links").cast("int")).alias("joined"), F.sum((~F.col("links")).cast("int")).alias("asking")).where("joined > 0 AND asking > 0")
+        here = state.join(_spread(split.join(counts, "group"), parts).drop("members"), ["group", "part"])
+        many, few = F.ceil(F.col("asking") / GROUP).cast("int"), F.ceil(F.col("joined") / (GROUP * share)).cast("int")
+        asking = here.where("NOT links").select("group", "key", F.pmod(own, many).cast("int").alias("i"), F.lit(True).alias("asks"), F.lit(False).alias("joined"))
+        asked = here.where("links").withColumn("j", F.pmod(F.xxhash64("key", F.lit(share)), few).cast("int")).where(F.col("j") < many)
+        asked = asked.select("group", "key", F.explode(F.sequence(F.col("j"), many - 1, few)).alias("i"), F.lit(False).alias("asks"), F.lit(True).alias("joined"))
+        both = asking.unionByName(asked).join(texts, "key").select(F.xxhash64("group", "i").alias("block"), "asks", "key", "joined", "text")
+        edges = cut(both.repartition("block").sortWithinPartitions("block").mapInArrow(lean(lambda batches: _blocks(batches, percent)), "a long, b long"))
+        found.append(edges)
+        linked = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct().withColumn("now", F.lit(True))
+        state = cut(state.join(linked, "key", "left").withColumn("links", F.col("links") | F.coalesce("now", F.lit(False))).select("group", "key", "part", "distance", "links"))
+    # the few that are left against all of the group that may be near them
     reach = 1 - percent / 100 + 1e-9
-    nearest = judged.where("NOT links").groupBy("group").agg(F.min("distance").alias("least"), F.count("*").alias("asking"))
-    placed = judged.join(dealt, ["group", "key"])
-    rest = placed.join(_spread(nearest.join(counts, "group"), parts).drop("members"), ["group", "part"]).where(F.col("distance") >= F.col("least") - reach)
+    nearest = state.where("NOT links").groupBy("group").agg(F.min("distance").alias("least"), F.count("*").alias("asking"))
+    rest = state.join(_spread(nearest.join(counts, "group"), parts).drop("members"), ["group", "part"]).where(F.col("distance") >= F.col("least") - reach)
     sizes = nearest.join(rest.groupBy("group").agg(F.count("*").alias("rest")), "group").join(counts, "group")
-    texts = members.select("key", "text")
     many = F.ceil(F.col("asking") / GROUP).cast("int")
     blocks = F.ceil(F.col("rest") / GROUP).cast("int")
-    own = F.xxhash64("key")
     block = [F.col("group"), F.col("i"), F.col("j")]
     known = cut(rest.select("group", "part", "key", "links").join(_spread(sizes, parts).select("group", "part", "asking", "rest"), ["group", "part"]))
     asking = known.where("NOT links").select("group", "key", F.pmod(own, many).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("joined"))
     asked = known.select("group", "key", F.explode(F.sequence(F.lit(0), many - 1)).alias("i"), F.pmod(own, blocks).cast("int").alias("j"), F.lit(False).alias("asks"), F.col("links").alias("joined"))
     both = asking.unionByName(asked).join(texts, "key").select(F.xxhash64(*block).alias("block"), "asks", "key", "joined", "text")
-    links = both.repartition("block").sortWithinPartitions("block").mapInArrow(lean(lambda batches: _blocks(batches, percent)), "a long, b long")
-    return star.unionByName(links)
+    found.append(both.repartition("block").sortWithinPartitions("block").mapInArrow(lean(lambda batches: _blocks(batches, percent)), "a long, b long"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def row_key(key: str, text: str) -> tuple[Column, Column]:
