@@ -430,12 +430,14 @@ def _spans(docs: DataFrame, window: int) -> DataFrame:
     marked = docs.join(copies, ["key", "tid"], "left").select("key", "text", "tid", F.coalesce("copy", F.lit(False)).alias("copy"))
     # the same columns as below, so that the plan shuffles the texts once and reads that exchange three times
     single = marked.where("NOT copy").select("key", "text", "tid")
-    hits = _anchor_hits(single, shares, window)
-    asked = hits.groupBy("key").agg(F.collect_list(F.struct("h", "frequent")).alias("hits"))
-    sent = marked.where("NOT copy").join(asked, "key").select("key", "text", "tid", "hits").mapInArrow(lean(_passages(shares, window)), "shard int, key long, tid long, start int, size int, words binary")
+    # every join of texts is by key and text digest: one shuffle of the texts serves all, and a key that many rows share is spread
+    rows = ["key", "tid"]
+    hits = _anchor_hits(single, shares, window).join(docs.select(rows).distinct(), "key")
+    asked = hits.groupBy(rows).agg(F.collect_list(F.struct("h", "frequent")).alias("hits"))
+    sent = marked.where("NOT copy").join(asked, rows).select("key", "text", "tid", "hits").mapInArrow(lean(_passages(shares, window)), "shard int, key long, tid long, start int, size int, words binary")
     found = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(lean(_locate(window)), "key long, tid long, start int, size int")
-    spans = found.groupBy("key").agg(F.collect_list(F.struct("tid", "start", "size")).alias("spans"))
-    return marked.join(spans, "key", "left")
+    spans = found.groupBy(rows).agg(F.collect_list(F.struct("tid", "start", "size")).alias("spans"))
+    return marked.join(spans, rows, "left")
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
