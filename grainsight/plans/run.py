@@ -121,12 +121,12 @@ def run(spark: SparkSession, config: Mapping[str, Any], artifact: dict[str, Any]
     if not folder:
         raise ValueError("input_dir is needed")
     pattern = str(settings.get(config, "filename_pattern", TILE_PATTERN))
-    found = sources.match(sources.list_tiles(spark, folder), pattern, settings.get(config, "run") or None, settings.get(config, "magnification") or None, unmatched=True)
+    found = sources.match(sources.list_tiles(spark, folder, content=True), pattern, settings.get(config, "run") or None, settings.get(config, "magnification") or None, unmatched=True)
     total = found.count()
     if not total:
         raise FileNotFoundError(f"no photos in {folder}")
     progress(0, total, "decoding")
-    photos = cut(prepared(sources.photos(spark, folder, found.select("path", "rel"))))
+    photos = cut(prepared(sources.photos(spark, folder, found)))
     if should_stop():
         raise InterruptedError("the run was stopped")
     progress(total // 2, total, "searching")

@@ -180,26 +180,25 @@ def _from_image_source(frames: DataFrame) -> DataFrame:
     return frames.select("path", "image.height", "image.width", "image.nChannels", "image.data").mapInArrow(run, PHOTO_SCHEMA)
 
 
-def photos(spark: SparkSession, folder: str, tiles: DataFrame | None = None) -> DataFrame:
-    """Gray photos of a folder's tiles: `PHOTO_SCHEMA` and the columns of `tiles` (all of the folder if none are given).
+def photos(spark: SparkSession, folder: str, files: DataFrame | None = None) -> DataFrame:
+    """Gray photos (`PHOTO_SCHEMA`) of files (path, content), as `list_tiles` and `match` give them with their content; all of the folder if none are given.
 
-    Files that are JPEG by their bytes, whatever their names, are decoded by the JVM.
+    Bytes are decoded where they are read.  Files that are JPEG by their bytes,
+    whatever their names, are decoded by the JVM, and only those meet in a join.
     """
-    tiles = list_tiles(spark, folder) if tiles is None else tiles
-    files = _files(spark, folder).select("path", "content").join(tiles.select("path"), "path", "left_semi")
-    is_jpeg = kind(F.col("content")) == "jpeg"
-    found = decoded(files.where(~is_jpeg))
-    suffixes = [r["s"] for r in files.where(is_jpeg).select(F.regexp_extract(names.base("path"), r"\.([A-Za-z]+)$", 1).alias("s")).distinct().collect()]
+    files = (list_tiles(spark, folder, content=True) if files is None else files).select("path", "content")
+    found = decoded(files)
+    jpeg = files.where(kind(F.col("content")) == "jpeg").select("path")
+    suffixes = [r["s"] for r in jpeg.select(F.regexp_extract(names.base("path"), r"\.([A-Za-z]+)$", 1).alias("s")).distinct().collect()]
     if suffixes:  # at most the suffixes that a photo may have
         frames = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{','.join(suffixes)}}}").load(_escaped(folder))
-        jpeg = files.where(is_jpeg).select("path")
         # the image source gives its paths as URIs
         decoded_ = F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B")))
         plain = F.regexp_replace(decoded_, "^([A-Za-z][A-Za-z0-9+.-]*):///", "$1:/")
         frames = frames.select(plain.alias("origin"), "image")
         made = _from_image_source(frames.join(jpeg.withColumn("origin", F.regexp_replace("path", "^([A-Za-z][A-Za-z0-9+.-]*):///", "$1:/")), "origin"))
         found = found.unionByName(jpeg.join(made, "path", "left"))
-    return found.join(tiles, "path")
+    return found
 
 
 def resolve(folder: str, roots: dict[str, str], exists) -> str:
