@@ -18,8 +18,8 @@ it does once in 24,000, and at 12 values once in 120, unless it stands side by s
 
 Candidates form groups, in which links are confirmed on the full sets: small
 groups all at once, in one task each.  In a large group, each member is first
-compared with the group's hub, the member that shares most regions with the
-others, wherever the member lies; members that the hub doesn't link are compared
+compared with the group's hub, the member that resembles most of those it was dealt
+to a part with, wherever the member lies; members that the hub doesn't link are compared
 with a block of linked ones, then with more, and only those without a link there
 with all the rest of the group, block by block, leaving out members that the
 triangle inequality of the Jaccard distance puts out of reach.  No group is
@@ -417,6 +417,29 @@ def _blocks(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     yield _edge_batch(flush())
 
 
+def _dense(least: float):
+    """Rows (group, part, key, signature), one part after the other: (group, key, n), how many of its part each member resembles."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, keys, held = None, [], []
+
+        def flush() -> pa.RecordBatch:
+            s = np.frombuffer(b"".join(held), np.uint16).reshape(-1, VALUES)
+            n = [int(((s == row).mean(1) >= least).sum()) for row in s]
+            return pa.RecordBatch.from_arrays([pa.array([part[0] if part else 0] * len(n), pa.int64()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["group", "key", "n"])
+
+        for batch in batches:
+            for g, p, key, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g, p) != part:
+                    yield flush()
+                    part, keys, held = (g, p), [], []
+                keys.append(key)
+                held.append(signature)
+        yield flush()
+
+    return run
+
+
 def _spread(group: DataFrame, parts: Column) -> DataFrame:
     """Rows of groups, one for each part that their members are dealt to."""
     return group.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -432,9 +455,9 @@ def _large_groups(members: DataFrame, rows: DataFrame, percent: int) -> DataFram
     salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     at = members.select("group", "key", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["group", "salt"])
     dealt = cut(at.select("group", "key", F.pmod(F.xxhash64("key"), F.ceil(F.col("members") / GROUP)).cast("int").alias("part")))
-    regions = _regions(members.select("key").join(rows, "key")).join(dealt.select("group", "key"), "key")
-    weight = regions.groupBy("group", "label").agg(F.count("*").alias("n")).where("n > 1")
-    dense = regions.join(weight, ["group", "label"]).groupBy("group", "key").agg(F.sum("n").alias("n"))
+    # the hub: who resembles most of the part that it was dealt to
+    signed = dealt.join(rows.select("key", "signature"), "key").select("group", "part", "key", "signature")
+    dense = signed.repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(lean(_dense(alike_from(percent))), "group long, key long, n long")
     hubs = dense.groupBy("group").agg(F.max(F.struct("n", (-F.col("key")).alias("k"))).alias("best")).select("group", (-F.col("best.k")).alias("hub")).join(counts, "group")
     hub_texts = hubs.join(members.select(F.col("key").alias("hub"), F.col("text").alias("hub_text")), "hub")
     parts = F.ceil(F.col("members") / GROUP).cast("int")
