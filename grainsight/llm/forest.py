@@ -277,9 +277,14 @@ def candidates(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+def _slim(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of a table of a few numbers a row, in as many partitions as there are cores: rounds over it don't write a file for every shuffle partition."""
+    return cut(df.coalesce(df.sparkSession.sparkContext.defaultParallelism))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's component, by alternating large and small stars; edges: (a, b), a < b."""
-    now = cut(edges.select("a", "b").distinct())
+    now = _slim(edges.select("a", "b").distinct())
     mark = None
     while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -288,7 +293,7 @@ def components(edges: DataFrame) -> DataFrame:
         # each node and its smaller neighbours come to the smallest of those
         small = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = large.join(small, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        now = cut(joined.unionByName(small.select(F.col("m").alias("a"), "b")).distinct())
+        now = _slim(joined.unionByName(small.select(F.col("m").alias("a"), "b")).distinct())
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
         if tuple(seen) == mark:
             break
@@ -454,7 +459,7 @@ def _large_groups(members: DataFrame, rows: DataFrame, percent: int) -> DataFram
     counts = members.groupBy("group").agg(F.count("*").alias("members"))
     salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     at = members.select("group", "key", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["group", "salt"])
-    dealt = cut(at.select("group", "key", F.pmod(F.xxhash64("key"), F.ceil(F.col("members") / GROUP)).cast("int").alias("part")))
+    dealt = _slim(at.select("group", "key", F.pmod(F.xxhash64("key"), F.ceil(F.col("members") / GROUP)).cast("int").alias("part")))
     # the hub: who resembles most of the part that it was dealt to
     signed = dealt.join(rows.select("key", "signature"), "key").select("group", "part", "key", "signature")
     dense = signed.repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(lean(_dense(alike_from(percent))), "group long, key long, n long")
@@ -462,10 +467,10 @@ def _large_groups(members: DataFrame, rows: DataFrame, percent: int) -> DataFram
     hub_texts = hubs.join(members.select(F.col("key").alias("hub"), F.col("text").alias("hub_text")), "hub")
     parts = F.ceil(F.col("members") / GROUP).cast("int")
     seen = members.select("key", "text").join(dealt, "key").join(_spread(hub_texts, parts).drop("members"), ["group", "part"]).select("group", "key", "text", "hub", "hub_text")
-    judged = cut(seen.mapInArrow(lean(lambda batches: _against_hub(batches, percent)), "group long, key long, hub long, distance double, links boolean"))
+    judged = _slim(seen.mapInArrow(lean(lambda batches: _against_hub(batches, percent)), "group long, key long, hub long, distance double, links boolean"))
     star = judged.where("links AND key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
     own, texts, found = F.xxhash64("key"), members.select("key", "text"), [star]
-    state = cut(judged.join(dealt, ["group", "key"]).select("group", "key", "part", "distance", "links"))
+    state = _slim(judged.join(dealt, ["group", "key"]).select("group", "key", "part", "distance", "links"))
     # those that the hub doesn't link, against a few blocks of those that are linked: one link is enough
     for share in SHARES:
         split = state.groupBy("group").agg(F.sum(F.col("links").cast("int")).alias("joined"), F.sum((~F.col("links")).cast("int")).alias("asking")).where("joined > 0 AND asking > 0")
@@ -475,10 +480,10 @@ def _large_groups(members: DataFrame, rows: DataFrame, percent: int) -> DataFram
         asked = here.where("links").withColumn("j", F.pmod(F.xxhash64("key", F.lit(share)), few).cast("int")).where(F.col("j") < many)
         asked = asked.select("group", "key", F.explode(F.sequence(F.col("j"), many - 1, few)).alias("i"), F.lit(False).alias("asks"), F.lit(True).alias("joined"))
         both = asking.unionByName(asked).join(texts, "key").select(F.xxhash64("group", "i").alias("block"), "asks", "key", "joined", "text")
-        edges = cut(both.repartition("block").sortWithinPartitions("block").mapInArrow(lean(lambda batches: _blocks(batches, percent)), "a long, b long"))
+        edges = _slim(both.repartition("block").sortWithinPartitions("block").mapInArrow(lean(lambda batches: _blocks(batches, percent)), "a long, b long"))
         found.append(edges)
         linked = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct().withColumn("now", F.lit(True))
-        state = cut(state.join(linked, "key", "left").withColumn("links", F.col("links") | F.coalesce("now", F.lit(False))).select("group", "key", "part", "distance", "links"))
+        state = _slim(state.join(linked, "key", "left").withColumn("links", F.col("links") | F.coalesce("now", F.lit(False))).select("group", "key", "part", "distance", "links"))
     # the few that are left against all of the group that may be near them
     reach = 1 - percent / 100 + 1e-9
     nearest = state.where("NOT links").groupBy("group").agg(F.min("distance").alias("least"), F.count("*").alias("asking"))
@@ -487,7 +492,7 @@ def _large_groups(members: DataFrame, rows: DataFrame, percent: int) -> DataFram
     many = F.ceil(F.col("asking") / GROUP).cast("int")
     blocks = F.ceil(F.col("rest") / GROUP).cast("int")
     block = [F.col("group"), F.col("i"), F.col("j")]
-    known = cut(rest.select("group", "part", "key", "links").join(_spread(sizes, parts).select("group", "part", "asking", "rest"), ["group", "part"]))
+    known = _slim(rest.select("group", "part", "key", "links").join(_spread(sizes, parts).select("group", "part", "asking", "rest"), ["group", "part"]))
     asking = known.where("NOT links").select("group", "key", F.pmod(own, many).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("joined"))
     asked = known.select("group", "key", F.explode(F.sequence(F.lit(0), many - 1)).alias("i"), F.pmod(own, blocks).cast("int").alias("j"), F.lit(False).alias("asks"), F.col("links").alias("joined"))
     both = asking.unionByName(asked).join(texts, "key").select(F.xxhash64(*block).alias("block"), "asks", "key", "joined", "text")
