@@ -89,3 +89,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def together(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal `keys` in one partition, one after the other: for functions of batches that rely on it.
+
+    A plain repartition is dropped where a join or an aggregation has dealt the rows by
+    these columns already; Spark may then turn the join into a broadcast one, read its
+    input from local files and tear groups apart, as nothing in the plan asks for them.
+    The hash of the keys is a partitioning that no other step has.
+    """
+    return df.repartition(F.xxhash64(*keys, F.lit(0))).sortWithinPartitions(*keys)

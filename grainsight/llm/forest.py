@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean
+from .common import cut, lean, together
 from .textcols import Words, mix, slices
 
 SHINGLE = 5
@@ -269,7 +269,7 @@ def candidates(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
         mixed = near.select(F.explode("regions").alias("r")).select("r.*").where("members > 2").distinct()
         members = regions.join(mixed, "label")
         few = members.where(F.col("members") <= REGION).select("label", "key").join(rows.select("key", "signature"), "key").select("label", "key", "signature")
-        found.append(few.repartition("label").sortWithinPartitions("label").mapInArrow(lean(_descend(depth, least)), "leader long, key long"))
+        found.append(together(few, "label").mapInArrow(lean(_descend(depth, least)), "leader long, key long"))
         if mixed.where(F.col("members") > REGION).isEmpty():
             break
         regions = cut(_longer(members.where(F.col("members") > REGION).select("label", "key"), rows, depth))
@@ -462,7 +462,7 @@ def _large_groups(members: DataFrame, rows: DataFrame, percent: int) -> DataFram
     dealt = _slim(at.select("group", "key", F.pmod(F.xxhash64("key"), F.ceil(F.col("members") / GROUP)).cast("int").alias("part")))
     # the hub: who resembles most of the part that it was dealt to
     signed = dealt.join(rows.select("key", "signature"), "key").select("group", "part", "key", "signature")
-    dense = signed.repartition("group", "part").sortWithinPartitions("group", "part").mapInArrow(lean(_dense(alike_from(percent))), "group long, key long, n long")
+    dense = together(signed, "group", "part").mapInArrow(lean(_dense(alike_from(percent))), "group long, key long, n long")
     hubs = dense.groupBy("group").agg(F.max(F.struct("n", (-F.col("key")).alias("k"))).alias("best")).select("group", (-F.col("best.k")).alias("hub")).join(counts, "group")
     hub_texts = hubs.join(members.select(F.col("key").alias("hub"), F.col("text").alias("hub_text")), "hub")
     parts = F.ceil(F.col("members") / GROUP).cast("int")
@@ -480,7 +480,7 @@ def _large_groups(members: DataFrame, rows: DataFrame, percent: int) -> DataFram
         asked = here.where("links").withColumn("j", F.pmod(F.xxhash64("key", F.lit(share)), few).cast("int")).where(F.col("j") < many)
         asked = asked.select("group", "key", F.explode(F.sequence(F.col("j"), many - 1, few)).alias("i"), F.lit(False).alias("asks"), F.lit(True).alias("joined"))
         both = asking.unionByName(asked).join(texts, "key").select(F.xxhash64("group", "i").alias("block"), "asks", "key", "joined", "text")
-        edges = _slim(both.repartition("block").sortWithinPartitions("block").mapInArrow(lean(lambda batches: _blocks(batches, percent)), "a long, b long"))
+        edges = _slim(together(both, "block").mapInArrow(lean(lambda batches: _blocks(batches, percent)), "a long, b long"))
         found.append(edges)
         linked = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct().withColumn("now", F.lit(True))
         state = _slim(state.join(linked, "key", "left").withColumn("links", F.col("links") | F.coalesce("now", F.lit(False))).select("group", "key", "part", "distance", "links"))
@@ -496,7 +496,7 @@ def _large_groups(members: DataFrame, rows: DataFrame, percent: int) -> DataFram
     asking = known.where("NOT links").select("group", "key", F.pmod(own, many).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("joined"))
     asked = known.select("group", "key", F.explode(F.sequence(F.lit(0), many - 1)).alias("i"), F.pmod(own, blocks).cast("int").alias("j"), F.lit(False).alias("asks"), F.col("links").alias("joined"))
     both = asking.unionByName(asked).join(texts, "key").select(F.xxhash64(*block).alias("block"), "asks", "key", "joined", "text")
-    found.append(both.repartition("block").sortWithinPartitions("block").mapInArrow(lean(lambda batches: _blocks(batches, percent)), "a long, b long"))
+    found.append(together(both, "block").mapInArrow(lean(lambda batches: _blocks(batches, percent)), "a long, b long"))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -519,7 +519,7 @@ def _found(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     large = sizes.where((F.col("n") > GROUP) | (F.col("bytes") > GROUP_BYTES)).select("group")
     small = members.join(large, "group", "left_anti").select("group", "key", "text")
-    few = small.repartition("group").sortWithinPartitions("group").mapInArrow(lean(lambda batches: _small_groups(batches, percent)), "a long, b long")
+    few = together(small, "group").mapInArrow(lean(lambda batches: _small_groups(batches, percent)), "a long, b long")
     many = _large_groups(members.join(large, "group", "left_semi").select("group", "key", "text"), own, percent)
     roots = components(few.unionByName(many)).withColumnsRenamed({"node": "class"})
     by_class = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))

@@ -120,6 +120,21 @@ def test_brute_force(spark, monkeypatch, families, group):
     assert {r.key: r.component for r in forest.near_duplicates(docs).collect()} == brute(families)
 
 
+def test_groups_stay_together(spark):
+    """Rows that a join has dealt by their group already are dealt anew for a function of batches: nothing else holds groups together if Spark makes the join a broadcast one."""
+    import pyarrow as pa
+    from grainsight.llm.common import together
+
+    def groups(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(sorted({g for b in batches for g in b.column(0).to_pylist()}), pa.int64())], ["group"])
+
+    rows = forest.cut(spark.range(4000).select((F.col("id") % 100).alias("group"), F.col("id").alias("key")).repartition(7))
+    large = rows.groupBy("group").agg(F.count("*").alias("n")).where("n > 40").select("group")
+    seen = together(rows.join(large.hint("merge"), "group", "left_anti"), "group").mapInArrow(groups, "group long")
+    assert "REPARTITION_BY_COL" in seen._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.group for r in seen.collect()) == list(range(100))
+
+
 def test_recall(spark):
     """No link of the small table is lost."""
     from collections import defaultdict
