@@ -31,19 +31,27 @@ def orthogonal(n: Column, s: Column, e: Column, w: Column) -> Column:
     return F.greatest(F.least(n, e), F.least(n, w), F.least(s, e), F.least(s, w))
 
 
-def cells(photos: DataFrame, cell: str = "cell", side: str = "side", pixels: str = "pixels") -> DataFrame:
-    """(cell, N, S, E, W): complete cells only; a side that comes twice is an error."""
+def cells(photos: DataFrame, cell: str = "cell", side: str = "side", pixels: str = "pixels", complete: bool = True) -> DataFrame:
+    """(cell, N, S, E, W): complete cells, or all with null for missing sides; a side that comes twice is an error."""
     sides = [F.collect_list(F.when(F.col(side) == d, F.col(pixels))).alias(d) for d in names.DIRECTIONS]
     found = photos.groupBy(cell).agg(*sides)
     once = [F.when(F.size(d) > 1, F.raise_error(F.lit("a side comes twice"))).when(F.size(d) == 1, F.element_at(d, 1)).alias(d) for d in names.DIRECTIONS]
-    return found.select(cell, *once).where(" AND ".join(f"{d} IS NOT NULL" for d in names.DIRECTIONS))
-
-
-def combine(photos: DataFrame, rank: int = 3, cell: str = "cell", side: str = "side", pixels: str = "pixels") -> DataFrame:
-    """(cell, signal, orthogonal): arrays over the pixels of each complete cell."""
-    stacked = cells(photos, cell, side, pixels).withColumn("_z", F.arrays_zip(*names.DIRECTIONS))
+    found = found.select(cell, *once)
+    return found.where(" AND ".join(f"{d} IS NOT NULL" for d in names.DIRECTIONS)) if complete else found
+
+
+def combine(photos: DataFrame, rank: int = 3, cell: str = "cell", side: str = "side", pixels: str = "pixels", complete: bool = True) -> DataFrame:
+    """(cell, signal, orthogonal): arrays over the pixels of each complete cell, or of all from the sides that they have."""
+    found = cells(photos, cell, side, pixels, complete)
+    sides = [F.col(d) for d in names.DIRECTIONS]
+    if not complete:
+        missing = F.transform(F.coalesce(*sides), lambda p: F.nullif(p, p))
+        sides = [F.coalesce(d, missing).alias(n) for d, n in zip(sides, names.DIRECTIONS, strict=True)]
+    stacked = found.select(cell, F.arrays_zip(*sides).alias("_z"))
     four = lambda p: F.array(*(p[d].cast("double") for d in names.DIRECTIONS))
-    signal = F.transform("_z", lambda p: symmetry(four(p), rank)["signal"])
+    there = lambda p: F.filter(four(p), lambda v: v.isNotNull())
+    seen = lambda p: symmetry(four(p), rank) if complete else F.when(F.size(there(p)) >= rank, symmetry(there(p), rank))
+    signal = F.transform("_z", lambda p: seen(p)["signal"])
     ortho = F.transform("_z", lambda p: orthogonal(*(p[d].cast("double") for d in names.DIRECTIONS)))
     return stacked.select(cell, signal.alias("signal"), ortho.alias("orthogonal"))
 

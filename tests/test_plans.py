@@ -128,3 +128,14 @@ def test_settled_frames(spark):
     frames = spark.createDataFrame([("a", i, float(i)) for i in range(5)] + [("b", 9, 9.2)], "camera string, seq long, at double")
     asks = spark.createDataFrame([("a", 1, 1.0, 1.5, 5.0), ("a", 2, 9.0, 0.1, 1.0), ("a", 3, 1.0, 1.0, 5.0), ("a", 4, 3.0, 0.5, 0.4), ("b", 5, 9.0, 0.1, 1.0)], "camera string, ask_id long, at double, settle_s double, timeout_s double")
     assert {r.ask_id: r.frame for r in capture.settled_frames(frames, asks).collect()} == {1: 3, 2: None, 3: 3, 4: None, 5: 9}
+
+
+def test_combine_incomplete(spark, tmp_path):
+    """Cells of one, two and three sides, short vectors and missing components are as in the SQL."""
+    vectors = [(i, [((i * 31 + k * 17) % 200 - 100) / 90.0 for k in range(64)]) for i in (0, 1, 2, 3, 4, 8, 9, 13, 14, 15)]
+    vectors += [(16, [0.5] * 40), (17, [None] + [0.25] * 63), (18, None), (19, [0.1] * 70)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = queries.QUERIES["combine_sides"](spark, str(tmp_path)).toPandas()
+    assert len(got) == 5 * 64 and rows_of(got) == rows_of(con.execute(queries.ORACLES["combine_sides"]).df())
