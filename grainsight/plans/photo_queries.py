@@ -5,6 +5,8 @@ Kernels run over the photos of 8 x 8 pixels, which SQL can follow pixel by pixel
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,11 @@ def each(spark: SparkSession, sf_dir: str, run, columns: str) -> DataFrame:
     return detect.each_photo(photo_table(spark, sf_dir), lambda path, image: [(path, *run(image))], f"path string, {columns}")
 
 
+def added(values: np.ndarray) -> float:
+    """The sum of doubles, rounded once: a total that lies on a rounding edge stays there."""
+    return math.fsum(values.ravel().tolist())
+
+
 @query(" SELECT path, sum(p)::BIGINT AS total FROM img GROUP BY 1", _IMG)
 def photo_float(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of full scale, brought back to bytes."""
@@ -37,7 +44,7 @@ def photo_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(", q AS (SELECT path, quantile_cont(p, 0.01) AS a, quantile_cont(p, 0.99) AS b FROM img GROUP BY 1) SELECT path, round(sum(CASE WHEN b > a THEN least(greatest((p - a) / (b - a), 0), 1) ELSE p END), 1) AS total FROM img JOIN q USING (path) GROUP BY 1", _IMG)
 def photo_stretched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return each(spark, sf_dir, lambda x: (float(filters.stretched(x, 1, 99).astype(float).sum()),), "total double").withColumn("total", F.round("total", 1))
+    return each(spark, sf_dir, lambda x: (added(filters.stretched(x, 1, 99, np.float64)),), "total double").withColumn("total", F.round("total", 1))
 
 
 @query(", q AS (SELECT path, min(p) AS a, quantile_cont(p, 0.995) - min(p) AS b FROM img GROUP BY 1) SELECT path, round(sum(CASE WHEN b > 0 THEN least((p - a) / b, 1) ELSE 0 END), 1) AS total FROM img JOIN q USING (path) GROUP BY 1", _IMG)

@@ -244,3 +244,30 @@ def test_empty(spark):
     none = table(spark, a=np.zeros((8, 8))).where("false")
     assert detect.detect(none, make.settings()).count() == 0
     assert places(spark, np.zeros((16, 16)), make.settings()) == []
+
+
+def edges(low, high):
+    """Photos of 64 bytes and their exact totals from (low, high) percentiles, a twentieth off the next tenth: what 32 bits can't tell."""
+    from fractions import Fraction
+
+    def at(s, share):
+        k = 63 * share
+        return s[int(k)] + (s[min(int(k) + 1, 63)] - s[int(k)]) * (k - int(k))
+
+    rng = np.random.default_rng(7)
+    for _ in range(20_000):
+        photo = rng.integers(40, 200, 64)
+        s = sorted(map(int, photo))
+        a, b = at(s, low), at(s, high)
+        total = sum((min(max((int(p) - a) / Fraction(b - a), 0), 1) for p in photo), Fraction(0))
+        if total * 20 % 2 == 1:
+            yield photo.astype(np.uint8).reshape(8, 8), total
+
+
+def test_stretched_on_edges():
+    from fractions import Fraction
+
+    from grainsight.plans.photo_queries import added
+
+    found = list(edges(Fraction(1, 100), Fraction(99, 100)))
+    assert found and all(abs(added(filters.stretched(x, 1, 99, np.float64)) - float(total)) < 1e-12 for x, total in found)
