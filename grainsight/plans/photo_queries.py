@@ -49,7 +49,7 @@ def photo_stretched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(", q AS (SELECT path, min(p) AS a, quantile_cont(p, 0.995) - min(p) AS b FROM img GROUP BY 1) SELECT path, round(sum(CASE WHEN b > 0 THEN least((p - a) / b, 1) ELSE 0 END), 1) AS total FROM img JOIN q USING (path) GROUP BY 1", _IMG)
 def photo_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return each(spark, sf_dir, lambda x: (float(filters.unit(x).astype(float).sum()),), "total double").withColumn("total", F.round("total", 1))
+    return each(spark, sf_dir, lambda x: (added(filters.unit(x, np.float64)),), "total double").withColumn("total", F.round("total", 1))
 
 
 @query(

@@ -271,3 +271,12 @@ def test_stretched_on_edges():
 
     found = list(edges(Fraction(1, 100), Fraction(99, 100)))
     assert found and all(abs(added(filters.stretched(x, 1, 99, np.float64)) - float(total)) < 1e-12 for x, total in found)
+
+
+def test_unit_on_edges():
+    from fractions import Fraction
+
+    from grainsight.plans.photo_queries import added
+
+    found = list(edges(Fraction(0), Fraction(199, 200)))
+    assert found and all(abs(added(filters.unit(x, np.float64)) - float(total)) < 1e-12 for x, total in found)
