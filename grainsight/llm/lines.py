@@ -22,7 +22,8 @@ earlier partner settles it; all other places of a set are late at once.
    those maps.  So a family of n similar lines costs n times a few, not all its pairs.
 3. Verification.  The token sets of these pairs are fetched and Jaccard is verified.
 4. Sets that stopped early, or whose group was split, and that no partner verified,
-   ask once more: in all parts of their groups and without a limit.
+   ask once more: in all parts of their groups and without a limit, among the sets
+   that share an entry key with one of them and have a size near its own.
 
 All filters are bounds and step 4 finds what the limits left, so no line at the
 threshold is missed.  Sets are told apart by 128-bit digests, entries by 64 bits of
@@ -32,7 +33,7 @@ chance under 1e-7 in the filters and under 1e-13 in the verification.
 
 Entries travel packed by token range; ranges have bounded sizes and their number
 grows with the input.  A slice of texts sends a set once, however often it has it.
-The broadcasts (count sketch, bit maps of asked lines and tokens) have fixed sizes.
+The broadcasts (count sketch, bit maps of asked lines, tokens and entry keys) have fixed sizes.
 
 Defined results: null and empty texts have one line and lose none; rows with a null
 key come after all others; the same line of rows that share a key counts as one
@@ -335,19 +336,14 @@ def _set_batch(places: Places, at: np.ndarray) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(lines.digests().view(np.int64)), pa.array(places.key[at]), pa.array(places.number[at].astype(np.int64)), tokens], SET_NAMES)
 
 
-def _sets(asked, by_word: bool = False):
-    """The sets of the lines whose places, or any of whose words, may be in the map `asked`."""
+def _sets(asked):
+    """The sets of the lines whose places may be in the map `asked`."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 places = Places(part.column(1), part.column(0).to_numpy(zero_copy_only=False))
-                if by_word:
-                    words = Words(part.column(1), lower=True)
-                    hit = _in_map(asked.value, mix(words.hashes() >> _T))
-                    at = np.unique(places.of_words(words.start[hit]))
-                else:
-                    at = np.flatnonzero(_in_map(asked.value, place_hash(places.key, places.number)))
+                at = np.flatnonzero(_in_map(asked.value, place_hash(places.key, places.number)))
                 found = _set_batch(places, at) if len(at) else None
                 if found is not None:
                     yield found
@@ -355,6 +351,46 @@ def _sets(asked, by_word: bool = False):
     return run
 
 
+def _entry_hash(token: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Of the entry key of a set whose size is in a band."""
+    return mix(token + band.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _asked_entries(shared, limits: tuple[int, int] = (HOT, PART)):
+    """(h): the entry keys of sets, with the bands that similar sets are in."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = Lines.of_sets(batch.column(0))
+            line, _, token, _ = lines.prefixes(shared.value, *limits)
+            at = band(lines.size[line])
+            h = [np.unique(_entry_hash(token, at + step)) for step in (-2, -1, 0, 1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], ["h"])
+
+    return run
+
+
+def _near(words, entries, shared, limits: tuple[int, int] = (HOT, PART)):
+    """The sets of the lines that may share an entry key and a range of sizes with one in the map `entries`; all its lines have a word of the map `words`."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                places = Places(part.column(1), part.column(0).to_numpy(zero_copy_only=False))
+                w = Words(part.column(1), lower=True)
+                at = np.unique(places.of_words(w.start[_in_map(words.value, mix(w.hashes() >> _T))]))
+                if not len(at):
+                    continue
+                lines = Lines(places.take(at))
+                line, _, token, _ = lines.prefixes(shared.value, *limits)
+                met = np.unique(line[_in_map(entries.value, _entry_hash(token, band(lines.size[line])))])
+                found = _set_batch(places, at[lines.text[met]]) if len(met) else None
+                if found is not None:
+                    yield found
+
+    return run
+
+
 def _of_sets(shift: int, shared, kind: int, limits: tuple[int, int] = (HOT, PART)):
     """Entries of sets (s, key, line, tokens); those that only ask go to all parts of their groups."""
 
@@ -431,7 +467,8 @@ class Group:
         """(set, earlier set, whether the first may have further ones): pairs that pass all filters.
 
         Without a limit, for those that only ask; with a limit, for all others, until
-        they have `most` that are most likely similar.
+        they have `most` that are most likely similar.  Whoever has a pair left out,
+        likely or not, may have further ones.
         """
         mine = np.arange(self.n, len(self.code)) if most is None else np.arange(self.n)
         sets = self.code[: self.n]
@@ -444,7 +481,7 @@ class Group:
             some = high > low
             asks.append(mine[some]), start.append(low[some]), count.append((high - low)[some])
         asks, start, count = (np.concatenate(x) for x in (asks, start, count))
-        sure = np.zeros(len(self.code), np.int64)
+        sure, left_out = np.zeros(len(self.code), np.int64), np.zeros(len(self.code), bool)
         low, high = 0, 16
         while len(asks):
             todo = np.minimum(count, high) - low
@@ -476,14 +513,20 @@ class Group:
                 begin = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
                 nth = _ramp(np.diff(np.append(begin, len(i))))
                 keep = np.where(likely, before + nth < most, sure[i] == 0)
+                lost = np.zeros(len(self.code), bool)
+                lost[i[~keep]] = True
                 i, j = i[keep], j[keep]
-                yield i, j, (sure[i] >= most) | self.split[i]
+                yield i, j, lost[i] | self.split[i]
+                lost[i] = False
+                left_out |= lost
+            if most is not None:
+                left_out[asks[(count > high) & (sure[asks] >= most)]] = True
             left = (count > high) & (sure[asks] < (most or 1))
             asks, start, count = asks[left], start[left], count[left]
             low, high = high, high * 4
         if most is not None:
-            # a part of a split group may be too small to hold any partner
-            alone = np.flatnonzero(self.split[: self.n])
+            # those with a pair left out and none yielded beside it; a part of a split group may be too small to hold any partner
+            alone = np.flatnonzero((left_out | self.split)[: self.n])
             yield alone, alone, np.ones(len(alone), bool)
 
 
@@ -614,9 +657,10 @@ def repeated(docs: DataFrame, few: int = FEW, limits: tuple[int, int] = (HOT, PA
     settled = _judged(pairs.where("s <> s2").drop("more"), sets)
     rest = cut(pairs.where("more").select(once).distinct().join(settled, once, "left_anti").join(sets, once))
     if not rest.isEmpty():
-        # only lines that share a prefix word with one of these
+        # only lines that share an entry key with one of these, looked for where they share a prefix word
         words = sc.broadcast(bit_map(rest.select("tokens").mapInArrow(lean(_prefix_words(shared)), "h long")))
-        near = cut(texts.mapInArrow(lean(_sets(words, by_word=True)), SET_SCHEMA).dropDuplicates(once))
+        entries = sc.broadcast(bit_map(rest.select("tokens").mapInArrow(lean(_asked_entries(shared, limits)), "h long")))
+        near = cut(texts.mapInArrow(lean(_near(words, entries, shared, limits)), SET_SCHEMA).dropDuplicates(once))
         both = rest.select(SET_NAMES).mapInArrow(lean(_of_sets(shift, shared, ASK, limits)), ENTRY_SCHEMA).unionByName(near.mapInArrow(lean(_of_sets(shift, shared, SET, limits)), ENTRY_SCHEMA))
         found = both.repartition("place").sortWithinPartitions("place").mapInArrow(lean(_pairs(None)), ENTRY_SCHEMA).mapInArrow(lean(_unpacked({-1: 0}, PAIR)), PAIR_SCHEMA).drop("more").distinct()
         settled = settled.unionByName(_judged(cut(found), rest.select(SET_NAMES).unionByName(near).dropDuplicates(once))).distinct()

@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from grainsight.llm import lines
 
@@ -76,3 +77,24 @@ def test_dedup(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, removed int").withColumnRenamed("removed", "tid")
     got = {tuple(r) for r in lines.dedup(docs).collect()}
     assert got == {(1, "one two three four\nx", 5), (3, "new line here now", 7), (4, None, 8)}
+
+
+def test_left_out_asks_again():
+    """A set of which any pair was left out, by the limit or as less likely than others, may have further partners."""
+    rng = np.random.default_rng(4)
+    n, zero = 400, np.zeros(400, np.uint64)
+    parity = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    flips = (np.uint64(1) << rng.integers(0, 64, (n, 6), dtype=np.uint64)) * (rng.random((n, 6)) < 0.6)
+    parity = parity[rng.integers(0, 3, n)] ^ np.bitwise_xor.reduce(flips, 1)
+    columns = (np.arange(n, dtype=np.uint64) + np.uint64(9), parity, zero, np.full(n, 30 << 32).view(np.uint64), np.arange(n, dtype=np.uint64), zero)
+
+    def pairs(asks, most):
+        rows = [np.concatenate([c] * len(asks)) for c in (zero, *columns)]
+        group = lines.Group(np.repeat(asks, n), *rows)
+        found = [np.concatenate(x) for x in zip(*group.partners(most), strict=True)]
+        return list(zip(group.s[found[0]].tolist(), group.s[found[1]].tolist(), found[2].tolist(), strict=True))
+
+    every = {(a, b) for a, b, _ in pairs([False, True], None)}
+    few = pairs([False], lines.FEW)
+    more = {a for a, _, m in few if m}
+    assert len(every) > 2000 and {a for a, _ in every - {(a, b) for a, b, _ in few}} <= more
