@@ -10,4 +10,7 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
-    return df.checkpoint()
+    kept = df.checkpoint()._jdf
+    # as a new table: a checkpoint keeps the estimated size, which joins multiply, so that planning round after round takes ever longer and overflows
+    fresh = df.sparkSession._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False)
+    return DataFrame(fresh, df.sparkSession)

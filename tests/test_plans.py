@@ -139,3 +139,15 @@ def test_combine_incomplete(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     got = queries.QUERIES["combine_sides"](spark, str(tmp_path)).toPandas()
     assert len(got) == 5 * 64 and rows_of(got) == rows_of(con.execute(queries.ORACLES["combine_sides"]).df())
+
+
+def test_cut_forgets_size(spark):
+    """Estimated sizes don't multiply from round to round."""
+    from grainsight.operators.checkpoint import cut
+
+    rows = spark.range(10).withColumn("v", F.col("id") % 3)
+    sizes = []
+    for _ in range(4):
+        rows = cut(rows.join(rows.select("id", F.col("v").alias("w")), "id").select("id", F.least("v", "w").alias("v")))
+        sizes.append(int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())).bit_length())
+    assert rows.count() == 10 and max(sizes) <= 64
