@@ -9,9 +9,13 @@ like any skewed key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from ..kernels import nearest
 
 
 def distance2(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -114,7 +118,35 @@ def limited_pairs(rows: DataFrame, radius: float, fraction: float, on: Sequence[
 
 
 def nearest_join(left: DataFrame, right: DataFrame, radius: float, on: Sequence[str] = (), key: str = "id", right_key: str = "id", x: str = "x", y: str = "y") -> DataFrame:
-    """(key, r, d2): for each left row the nearest right row within `radius`, ties to the smaller right key; none if there is none."""
-    pairs = range_join(left, right, radius, on, x, y)
+    """(key, r, d2): for each left row the nearest right row within `radius`, ties to the smaller right key; none if there is none.
+
+    Both sides meet in blocks some radii wide, right rows also in those within reach,
+    and are searched there without a row for each pair; see `kernels.nearest`.
+    """
+    if radius < 0:
+        raise ValueError("a radius can't be negative")
+    width = F.lit(nearest.BLOCK * (float(radius) if radius > 0 else 1.0))
+    reach = F.lit(float(radius) * (1 + 1e-9))
+    keys = [f"_k{i}" for i in range(len(on))]
+    block = lambda c: F.floor(c / width).cast("long")
+
+    def side(rows: DataFrame, own: Column, point: Column, rank: Column, reach: Column) -> DataFrame:
+        """Rows without a place or a group meet nothing."""
+        there = reduce(lambda a, b: a & b, [F.abs(F.col(c).cast("double")) < float("inf") for c in (x, y)] + [F.col(k).isNotNull() for k in on])
+        at = rows.where(there).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), own.alias("key"), point.alias("point"), rank.alias("_rank"), *(F.col(k).alias(n) for k, n in zip(on, keys, strict=True)))
+        for c in ("x", "y"):
+            at = at.withColumn(f"_b{c}", F.explode(F.sequence(block(F.col(c) - reach), block(F.col(c) + reach))))
+        return at
+
+    shape, own, rank = right.select(F.struct("*").alias("r")).schema["r"].dataType, left.schema[key].dataType, right.schema[right_key].dataType
+    points = side(right, F.lit(None).cast(own), F.struct(*(F.col(c) for c in right.columns)), F.col(right_key), reach)
+    asking = side(left, F.col(key), F.lit(None).cast(shape), F.lit(None).cast(rank), F.lit(0.0))
+    where = [*keys, "_bx", "_by"]
+    # no other step deals rows by this hash, so nothing turns it into local reads
+    both = points.unionByName(asking).repartition(F.xxhash64(*where, F.lit(0))).sortWithinPartitions(*where, F.col("point").isNull(), "_rank")
+    corner = [(F.col(f"_b{c}") * width).alias(f"o{c}") for c in ("x", "y")]
+    names = [key, "r", "d2"]
+    schema = StructType([StructField(key, own), StructField("r", shape), StructField("d2", DoubleType())])
+    pairs = both.select("x", "y", *corner, "key", "point", *where).mapInArrow(lambda batches: nearest.nearest_points(batches, float(radius), names), schema)
     best = F.min_by(F.struct("r", "d2"), F.struct("d2", F.col(f"r.{right_key}")))
-    return pairs.groupBy(F.col(f"l.{key}").alias(key)).agg(best.alias("_b")).select(key, "_b.r", "_b.d2")
+    return pairs.groupBy(key).agg(best.alias("_b")).select(key, "_b.r", "_b.d2")

@@ -151,3 +151,24 @@ def test_cut_forgets_size(spark):
         rows = cut(rows.join(rows.select("id", F.col("v").alias("w")), "id").select("id", F.least("v", "w").alias("v")))
         sizes.append(int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())).bit_length())
     assert rows.count() == 10 and max(sizes) <= 64
+
+
+@pytest.mark.parametrize("radius", [0.0, 3.0, 40.0])
+def test_nearest_dense(spark, radius):
+    """The nearest of many: hot places, ties, groups, rows without a place; no row for each pair within reach."""
+    import random
+
+    rng = random.Random(5)
+    place = lambda: rng.choice([(7.0, 7.0), (float(rng.randrange(-60, 60)), float(rng.randrange(-60, 60))), (rng.uniform(-300, 300), rng.uniform(-300, 300))])
+    rows = [(i, *place(), rng.choice("ab")) for i in range(900)] + [(2000, None, 1.0, "a"), (2001, float("nan"), 1.0, "a"), (2002, 1.0, 1.0, None)]
+    right = [(i + 5000, *place(), rng.choice("ab")) for i in range(700)] + [(9000, None, 1.0, "a"), (9001, float("inf"), 1.0, "a"), (9002, 1.0, 1.0, None)]
+    schema = "id long, x double, y double, g string"
+    got = spatial.nearest_join(spark.createDataFrame(rows, schema), spark.createDataFrame(right, schema), radius, ["g"])
+    want = {}
+    for i, x, y, g in rows[:900]:
+        near = min(((x - a) * (x - a) + (y - b) * (y - b), j) for j, a, b, h in right[:700] if h == g)
+        if near[0] <= radius * radius:
+            want[i] = near
+    assert {r.id: (r.d2, r.r.id) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and len(want) > 50
