@@ -84,7 +84,7 @@ class Grid:
             start = stop
 
 
-def _changes(columns: list[np.ndarray]) -> np.ndarray:
+def changes(columns: list[np.ndarray]) -> np.ndarray:
     """Where rows differ from the ones before; the first doesn't."""
     out = np.zeros(len(columns[0]), bool)
     for c in columns:
@@ -102,7 +102,7 @@ def nearest_points(batches: Iterable[pa.RecordBatch], radius: float, names: list
     def found(rows: pa.Table) -> tuple[pa.RecordBatch, pa.Table]:
         """What its askers find, and the points of its last block, which may go on."""
         number = lambda c: rows.column(c).to_numpy()
-        block = np.cumsum(_changes([rows.column(i).to_numpy() for i in range(6, rows.num_columns)]))
+        block = np.cumsum(changes([rows.column(i).to_numpy() for i in range(6, rows.num_columns)]))
         asks = rows.column("point").is_null().to_numpy()
         x, y, ox, oy = (number(c) for c in ("x", "y", "ox", "oy"))
         p, q = np.flatnonzero(~asks), np.flatnonzero(asks)

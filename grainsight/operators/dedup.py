@@ -3,29 +3,36 @@
 The greedy rule: in order of priority, a detection that no better one has taken
 becomes a seed and takes all free detections within their pair limit.  Which pairs
 may merge doesn't depend on the order, so the seeds are the lexicographically first
-maximal independent set, found in rounds of joins: whoever has no better
-undecided neighbour is a seed, and its neighbours are lost.  After `ROUNDS` of them
-what is still open, chains of ever better detections, is decided component by
-component.  Priority is a total order: confidence descending, then tile, y, x and id.
+maximal independent set.  With one limit for all they are found block by block of
+the plane, in passes.  Where limits grow with size they are found in rounds of
+joins: whoever has no better undecided neighbour is a seed, and its neighbours are
+lost; after `ROUNDS` of them what is still open, chains of ever better detections,
+is decided component by component.  Priority is a total order: confidence descending, then tile, y, x and id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, StructField, StructType
 
 from ..functions import names
+from ..kernels import greedy
 from .checkpoint import cut
 from .graph import connected_components
-from .spatial import limited_pairs
+from .spatial import limited_pairs, range_join
 
 PRIORITY = ("confidence", "source_tile", "y", "x", "id")
-#: Rounds of joins before components are decided one by one.
+#: Rounds of joins before components are decided one by one, and passes before blocks grow.
 ROUNDS = 8
+#: Blocks are so many limits wide, less where the fullest has more rows than this, and lie at these shifts in turn.
+BLOCK, MOST = 32, 1_000_000
+SHIFTS = ((0.0, 0.0), (0.5, 0.5), (0.5, 0.0), (0.0, 0.5))
 
 
 def priority(prefix: str = "") -> F.Column:
@@ -53,6 +60,59 @@ def _lost(edges: pd.DataFrame) -> pd.DataFrame:
 
 def assign_seeds(rows: DataFrame, radius: float, fraction: float = 0.0, on: Sequence[str] = (), rounds: int = ROUNDS) -> DataFrame:
     """(id, seed): the seed that takes each detection, itself for seeds; columns id, x, y, size, confidence, source_tile and `on`."""
+    return _seeds_by_pairs(rows, radius, fraction, on, rounds) if fraction > 0 else _seeds_in_blocks(rows, radius, on, rounds)
+
+
+def _seeds_in_blocks(rows: DataFrame, radius: float, on: Sequence[str], rounds: int) -> DataFrame:
+    """`assign_seeds` with one limit for all: each pass decides what blocks of the plane show, see `kernels.greedy`; no list of pairs.
+
+    Blocks of the next pass lie elsewhere.  After `rounds` passes they grow, so that
+    long chains of ever better detections end.
+    """
+    if radius < 0:
+        raise ValueError("a radius can't be negative")
+    keys = [f"_k{i}" for i in range(len(on))]
+    key_type = dict(rows.dtypes)["id"]
+    slim = rows.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "confidence", "source_tile", *(F.col(k).alias(n) for k, n in zip(on, keys, strict=True)))
+    # rows without a place or a group meet nothing
+    there = reduce(lambda a, b: a & b, [F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) for c in ("x", "y")] + [F.col(k).isNotNull() for k in keys])
+    open_ = slim.where(there)
+    unit = float(radius) if radius > 0 else 1.0
+    at = lambda c, wide, shift: F.floor(F.col(c) / F.lit(wide) - F.lit(shift)).cast("long")
+    wide = BLOCK * unit
+    fullest = open_.groupBy(*keys, at("x", wide, 0.0), at("y", wide, 0.0)).count().agg(F.max("count")).head()[0] or 0
+    while fullest > MOST and wide > 4 * unit:
+        wide, fullest = wide / 2, fullest / 4
+    where, rest = [*keys, "_bx", "_by"], ["x", "y", "confidence", "source_tile", *keys]
+    schema = StructType([StructField("id", slim.schema["id"].dataType), StructField("seed", slim.schema["id"].dataType), StructField("state", ByteType()), StructField("rest", slim.select(F.struct(*rest).alias("r")).schema["r"].dataType)])
+    passes, done = [], 0
+    while True:
+        wide *= 2 if done >= rounds else 1
+        sx, sy = SHIFTS[done % len(SHIFTS)]
+        dealt = open_.withColumns({"_bx": at("x", wide, sx), "_by": at("y", wide, sy)}).repartition(F.xxhash64(*where, F.lit(0)))
+        dealt = dealt.sortWithinPartitions(*where, *(priority()[c] for c in "ctyxi"))
+        corner = [((F.col(b) + F.lit(s)) * F.lit(wide)).alias(o) for b, s, o in (("_bx", sx, "ox"), ("_by", sy, "oy"))]
+        asked = dealt.select("x", "y", *corner, "id", F.struct(*rest).alias("rest"), *where)
+        passes.append(cut(asked.mapInArrow(_decided(wide, float(radius)), schema)))
+        open_ = passes[-1].where(F.col("state") == greedy.OPEN).select("id", "rest.*")
+        done += 1
+        if open_.isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, passes)
+    of = lambda *states: found.where(F.col("state").isin(*states))
+    unsure = of(greedy.UNSURE).select("id", "rest.x", "rest.y", *(f"rest.{k}" for k in keys))
+    seeds = of(greedy.SEED).select("id", "rest.*").withColumn("p", priority()).select("id", "x", "y", "p", *keys)
+    owners = range_join(unsure, seeds, radius, keys).groupBy(F.col("l.id").alias("id")).agg(F.min_by("r.id", "r.p").alias("seed"))
+    sure = of(greedy.SEED, greedy.LOST).select("id", F.when(F.col("state") == greedy.SEED, F.col("id")).otherwise(F.col("seed")).cast(key_type).alias("seed"))
+    return sure.unionByName(owners).unionByName(slim.where(~there).select("id", F.col("id").alias("seed")))
+
+
+def _decided(wide: float, radius: float):
+    return lambda batches: greedy.decided(batches, wide, radius, ["id", "seed", "state", "rest"])
+
+
+def _seeds_by_pairs(rows: DataFrame, radius: float, fraction: float, on: Sequence[str], rounds: int) -> DataFrame:
+    """`assign_seeds` from a list of all pairs, where limits grow with size."""
     slim = rows.select("id", "x", "y", "size", "confidence", "source_tile", *on)
     pairs = limited_pairs(slim.select("id", "x", "y", "size", *on), radius, fraction, on)
     ranks = slim.select("id", priority().alias("p"))

@@ -172,3 +172,24 @@ def test_nearest_dense(spark, radius):
     assert {r.id: (r.d2, r.r.id) for r in got.collect()} == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and len(want) > 50
+
+
+@pytest.mark.parametrize("radius, wide, rounds", [(0.0, 32, 8), (6.0, 4, 8), (6.0, 4, 0), (40.0, 32, 8)])
+def test_greedy_dense(spark, monkeypatch, radius, wide, rounds):
+    """Hot places, groups and rows without a place, over many blocks; no list of pairs, which grow with the square of the rows."""
+    import random
+
+    def pairs(*_):
+        raise AssertionError("a list of all pairs")
+
+    monkeypatch.setattr(dedup, "limited_pairs", pairs)
+    monkeypatch.setattr(dedup, "BLOCK", wide)
+    rng = random.Random(7)
+    place = lambda: rng.choice([(48.0, 48.0), (float(rng.randrange(-50, 150)), float(rng.randrange(-50, 150))), (rng.uniform(-50, 150), rng.uniform(-50, 150))])
+    rows = [(i, *place(), 1.0, float(rng.randrange(20)), rng.choice(["s", "t"]), rng.choice("ab")) for i in range(1200)]
+    rows += [(5000, None, 1.0, 1.0, 50.0, "t", "a"), (5001, float("nan"), 1.0, 1.0, 50.0, "t", "a"), (5002, 48.0, 48.0, 1.0, 50.0, "t", None)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, size double, confidence double, source_tile string, g string")
+    want = {i: i for i in (5000, 5001, 5002)}
+    for g in "ab":
+        want |= dict(brute_force([r.asDict() for r in df.where(F.col("g") == g).collect() if r.id < 5000], radius))
+    assert {r.id: r.seed for r in dedup.assign_seeds(df, radius, on=["g"], rounds=rounds).collect()} == want
