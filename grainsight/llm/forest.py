@@ -68,6 +68,12 @@ SHARES = (1, 4)
 #: Parts that a group's rows are dealt to before its size is known.
 SALTS = 64
 LAST_KEY = (1 << 63) - 1
+#: Documents for which it is worth to begin a task in Python: the tasks of small tables are put together, down to one for each core.
+TASK = 8192
+#: More tasks than tables have partitions.
+MANY = 1 << 20
+#: Components of no more edges are found in one task.
+EDGES = 1 << 18
 
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -175,7 +181,7 @@ def _longer(members: DataFrame, rows: DataFrame, depth: int) -> DataFrame:
     return members.join(rows.select("key", "signature"), "key").select("label", "key", "signature").mapInArrow(lean(run), "label long, key long")
 
 
-def _alike(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+def _alike(pairs: DataFrame, rows: DataFrame, least: float, tasks: int) -> DataFrame:
     """(leader, key, regions, alike): whether the signatures of a pair resemble each other."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +192,7 @@ def _alike(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
 
     of_leader = rows.select(F.col("key").alias("leader"), F.col("signature").alias("s1"))
     both = pairs.join(of_leader, "leader").join(rows.select("key", F.col("signature").alias("s2")), "key")
-    return both.select("leader", "key", "regions", "s1", "s2").mapInArrow(lean(run), "leader long, key long, regions array<struct<label:long,members:long>>, alike boolean")
+    return both.select("leader", "key", "regions", "s1", "s2").coalesce(tasks).mapInArrow(lean(run), "leader long, key long, regions array<struct<label:long,members:long>>, alike boolean")
 
 
 def common_prefix(ordered: np.ndarray) -> np.ndarray:
@@ -256,20 +262,31 @@ def _descend(depth: int, least: float):
     return run
 
 
-def candidates(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+def _tasks(rows: DataFrame) -> int:
+    """So many tasks at most for Python functions over a table of a row a document; at large tables more than there are partitions, so that they stay as they are."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK))
+
+
+def _grouped(df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """`together` in at most so many tasks: whole partitions are put together and sorted after that."""
+    return together(df, *keys) if tasks >= MANY else df.repartition(F.xxhash64(*keys, F.lit(0))).coalesce(tasks).sortWithinPartitions(*keys)
+
+
+def candidates(rows: DataFrame, percent: int = PERCENT, tasks: int = MANY) -> DataFrame:
     """(leader, key): pairs of documents of one region that resemble each other."""
+    rows = rows.coalesce(tasks)
     regions, depth, found = _regions(rows), DEPTH, []
     least = alike_from(percent)
     while True:
         leaders = regions.groupBy("label").agg(F.min("key").alias("leader"), F.count("*").alias("members")).where("members > 1")
         pairs = regions.join(leaders, "label").where("key > leader").groupBy("leader", "key").agg(F.collect_list(F.struct("label", "members")).alias("regions"))
-        near = cut(_alike(pairs, rows, least).withColumn("regions", F.when(~F.col("alike"), F.col("regions"))))
+        near = cut(_alike(pairs, rows, least, tasks).withColumn("regions", F.when(~F.col("alike"), F.col("regions"))))
         found.append(near.where("alike").select("leader", "key"))
         # a region may hold documents of several kinds: all its members go on
         mixed = near.select(F.explode("regions").alias("r")).select("r.*").where("members > 2").distinct()
         members = regions.join(mixed, "label")
         few = members.where(F.col("members") <= REGION).select("label", "key").join(rows.select("key", "signature"), "key").select("label", "key", "signature")
-        found.append(together(few, "label").mapInArrow(lean(_descend(depth, least)), "leader long, key long"))
+        found.append(_grouped(few, tasks, "label").mapInArrow(lean(_descend(depth, least)), "leader long, key long"))
         if mixed.where(F.col("members") > REGION).isEmpty():
             break
         regions = cut(_longer(members.where(F.col("members") > REGION).select("label", "key"), rows, depth))
@@ -282,11 +299,33 @@ def _slim(df: DataFrame) -> DataFrame:
     return cut(df.coalesce(df.sparkSession.sparkContext.defaultParallelism))
 
 
+def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b): (smallest node, other node) of each component."""
+    above: dict[int, int] = {}
+
+    def root(node: int) -> int:
+        while (up := above.setdefault(node, node)) != node:
+            above[node] = node = above[up]
+        return node
+
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            low, high = sorted((root(a), root(b)))
+            above[high] = low
+    yield _edge_batch([(root(node), node) for node in list(above) if root(node) != node])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each node's component, by alternating large and small stars; edges: (a, b), a < b."""
+    """(node, root): the smallest node of each node's component, by alternating large and small stars; edges: (a, b), a < b.
+
+    Up to `EDGES` edges, one task finds what the stars would.
+    """
     now = _slim(edges.select("a", "b").distinct())
+    small_enough = now.count() <= EDGES
+    if small_enough:
+        now = _slim(now.coalesce(1).mapInArrow(lean(_stars), "a long, b long"))
     mark = None
-    while True:
+    while not small_enough:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
@@ -450,7 +489,7 @@ def _spread(group: DataFrame, parts: Column) -> DataFrame:
     return group.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
 
 
-def _large_groups(members: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def _large_groups(members: DataFrame, rows: DataFrame, percent: int, tasks: int = MANY) -> DataFrame:
     """Links (a, b) that connect the components of large groups; members: (group, key, text).
 
     Members are dealt to parts of about `GROUP`, with which what belongs to the whole
@@ -462,12 +501,12 @@ def _large_groups(members: DataFrame, rows: DataFrame, percent: int) -> DataFram
     dealt = _slim(at.select("group", "key", F.pmod(F.xxhash64("key"), F.ceil(F.col("members") / GROUP)).cast("int").alias("part")))
     # the hub: who resembles most of the part that it was dealt to
     signed = dealt.join(rows.select("key", "signature"), "key").select("group", "part", "key", "signature")
-    dense = together(signed, "group", "part").mapInArrow(lean(_dense(alike_from(percent))), "group long, key long, n long")
+    dense = _grouped(signed, tasks, "group", "part").mapInArrow(lean(_dense(alike_from(percent))), "group long, key long, n long")
     hubs = dense.groupBy("group").agg(F.max(F.struct("n", (-F.col("key")).alias("k"))).alias("best")).select("group", (-F.col("best.k")).alias("hub")).join(counts, "group")
     hub_texts = hubs.join(members.select(F.col("key").alias("hub"), F.col("text").alias("hub_text")), "hub")
     parts = F.ceil(F.col("members") / GROUP).cast("int")
     seen = members.select("key", "text").join(dealt, "key").join(_spread(hub_texts, parts).drop("members"), ["group", "part"]).select("group", "key", "text", "hub", "hub_text")
-    judged = _slim(seen.mapInArrow(lean(lambda batches: _against_hub(batches, percent)), "group long, key long, hub long, distance double, links boolean"))
+    judged = _slim(seen.coalesce(tasks).mapInArrow(lean(lambda batches: _against_hub(batches, percent)), "group long, key long, hub long, distance double, links boolean"))
     star = judged.where("links AND key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
     own, texts, found = F.xxhash64("key"), members.select("key", "text"), [star]
     state = _slim(judged.join(dealt, ["group", "key"]).select("group", "key", "part", "distance", "links"))
@@ -480,7 +519,7 @@ def _large_groups(members: DataFrame, rows: DataFrame, percent: int) -> DataFram
         asked = here.where("links").withColumn("j", F.pmod(F.xxhash64("key", F.lit(share)), few).cast("int")).where(F.col("j") < many)
         asked = asked.select("group", "key", F.explode(F.sequence(F.col("j"), many - 1, few)).alias("i"), F.lit(False).alias("asks"), F.lit(True).alias("joined"))
         both = asking.unionByName(asked).join(texts, "key").select(F.xxhash64("group", "i").alias("block"), "asks", "key", "joined", "text")
-        edges = _slim(together(both, "block").mapInArrow(lean(lambda batches: _blocks(batches, percent)), "a long, b long"))
+        edges = _slim(_grouped(both, tasks, "block").mapInArrow(lean(lambda batches: _blocks(batches, percent)), "a long, b long"))
         found.append(edges)
         linked = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct().withColumn("now", F.lit(True))
         state = _slim(state.join(linked, "key", "left").withColumn("links", F.col("links") | F.coalesce("now", F.lit(False))).select("group", "key", "part", "distance", "links"))
@@ -496,7 +535,7 @@ def _large_groups(members: DataFrame, rows: DataFrame, percent: int) -> DataFram
     asking = known.where("NOT links").select("group", "key", F.pmod(own, many).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("joined"))
     asked = known.select("group", "key", F.explode(F.sequence(F.lit(0), many - 1)).alias("i"), F.pmod(own, blocks).cast("int").alias("j"), F.lit(False).alias("asks"), F.col("links").alias("joined"))
     both = asking.unionByName(asked).join(texts, "key").select(F.xxhash64(*block).alias("block"), "asks", "key", "joined", "text")
-    found.append(together(both, "block").mapInArrow(lean(lambda batches: _blocks(batches, percent)), "a long, b long"))
+    found.append(_grouped(both, tasks, "block").mapInArrow(lean(lambda batches: _blocks(batches, percent)), "a long, b long"))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -513,14 +552,15 @@ def _found(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     full = base.where("n > 0")
     classes = full.groupBy("class").agg(F.min(F.struct("key", "tid")).alias("first"))
     own = cut(full.dropDuplicates(["class"]).select(F.col("class").alias("key"), "signature"))
-    groups = components(candidates(own, percent).select(F.col("leader").alias("a"), F.col("key").alias("b")))
+    tasks = _tasks(own)
+    groups = components(candidates(own, percent, tasks).select(F.col("leader").alias("a"), F.col("key").alias("b")))
     firsts = groups.join(classes.withColumnRenamed("class", "node"), "node").select("node", "root", "first.key", "first.tid")
     members = cut(firsts.join(rows, ["key", "tid"]).select(F.col("root").alias("group"), F.col("node").alias("key"), "text").dropDuplicates(["key"]))
     sizes = members.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     large = sizes.where((F.col("n") > GROUP) | (F.col("bytes") > GROUP_BYTES)).select("group")
     small = members.join(large, "group", "left_anti").select("group", "key", "text")
-    few = together(small, "group").mapInArrow(lean(lambda batches: _small_groups(batches, percent)), "a long, b long")
-    many = _large_groups(members.join(large, "group", "left_semi").select("group", "key", "text"), own, percent)
+    few = _grouped(small, tasks, "group").mapInArrow(lean(lambda batches: _small_groups(batches, percent)), "a long, b long")
+    many = _large_groups(members.join(large, "group", "left_semi").select("group", "key", "text"), own, percent, tasks)
     roots = components(few.unionByName(many)).withColumnsRenamed({"node": "class"})
     by_class = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = by_class.groupBy("root").agg(F.min("first").alias("least"))

@@ -160,3 +160,43 @@ def test_labels_sort_as_orders():
         label = forest.labels(rows)[:, t]
         first = [tuple((np.roll(r, -t * forest.DEPTH)[: forest.DEPTH] >> 2).tolist()) for r in rows]
         assert sorted(range(50), key=lambda i: label[i]) == sorted(range(50), key=lambda i: first[i]) and (label % np.uint64(32) == t).all()
+
+
+@pytest.mark.parametrize("edges", [0, forest.EDGES])
+def test_components_few(spark, monkeypatch, edges):
+    """By stars and in one task; a small table takes no rounds of joins."""
+    monkeypatch.setattr(forest, "EDGES", edges)
+    rng = np.random.default_rng(11)
+    pairs = [(i, i + 1) for i in range(1000, 1060)] + [(0, 999), (5, 999)] + [tuple(sorted(map(int, rng.choice(200, 2, False) + 2000))) for _ in range(150)]
+    above = {n: n for p in pairs for n in p}
+
+    def root(n):
+        while above[n] != n:
+            n = above[n]
+        return n
+
+    for a, b in pairs:
+        low, high = sorted((root(a), root(b)))
+        above[high] = low
+    spark.sparkContext.setJobGroup(f"few {edges}", "components")
+    got = forest.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"few {edges}"))
+    spark.sparkContext.setJobGroup("", "")
+    assert len(got) == len(above) and {r.node: r.root for r in got} == {n: root(n) for n in above}
+    assert (jobs <= 8) == (edges > 0)
+
+
+def test_few_tasks(spark):
+    """Python functions over small tables begin in no more tasks than there are cores; groups stay whole."""
+    rows = spark.range(3000).select((F.col("id") % 100).alias("group"), "id")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = forest._tasks(rows)
+        found = forest._grouped(rows, tasks, "group").withColumn("part", F.spark_partition_id()).groupBy("group").agg(F.collect_set("part").alias("parts")).collect()
+        many = forest._grouped(rows, forest.MANY, "group").rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks == spark.sparkContext.defaultParallelism and many == 64
+    assert all(len(r.parts) == 1 for r in found) and 1 < len({r.parts[0] for r in found}) <= tasks
