@@ -49,6 +49,10 @@ WINDOW = 13
 ANCHOR = 6
 #: Bytes of text that one hash range or one shard answers for, about.
 SHARE = 8 << 20
+#: Shards of passages for each hash range: a shard's windows are Python objects, some forty times their text.
+SHARDS = 4
+#: Bytes of text that a task marks and cuts at once.
+SLICE = 512 << 10
 #: An anchor that more slices than that have is frequent.
 FREQUENT = 2000
 #: Copies of a text from which on they are dealt to parts, and the parts.
@@ -341,7 +345,7 @@ def _repeated(w: Words, text: int, copy: bool, spans: list, window: int) -> np.n
 def _masked(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[tuple[pa.RecordBatch, Words, np.ndarray]]:
     """Slices of (key, text, tid, copy, spans, ...), their words and which of those are repeated."""
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             w = Words(part.column(1))
             gone = np.zeros(len(w), bool)
             tids, copies = part.column(2).to_pylist(), part.column(3).to_pylist()
@@ -434,7 +438,7 @@ def _spans(docs: DataFrame, window: int) -> DataFrame:
     rows = ["key", "tid"]
     hits = _anchor_hits(single, shares, window).join(docs.select(rows).distinct(), "key")
     asked = hits.groupBy(rows).agg(F.collect_list(F.struct("h", "frequent")).alias("hits"))
-    sent = marked.where("NOT copy").join(asked, rows).select("key", "text", "tid", "hits").mapInArrow(lean(_passages(shares, window)), "shard int, key long, tid long, start int, size int, words binary")
+    sent = marked.where("NOT copy").join(asked, rows).select("key", "text", "tid", "hits").mapInArrow(lean(_passages(shares * SHARDS, window)), "shard int, key long, tid long, start int, size int, words binary")
     found = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(lean(_locate(window)), "key long, tid long, start int, size int")
     spans = found.groupBy(rows).agg(F.collect_list(F.struct("tid", "start", "size")).alias("spans"))
     return marked.join(spans, rows, "left")
@@ -457,13 +461,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     spans = _spans(_keyed(docs, key, text), window)
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names, strict=True))
+    others = [n for n in names if n != at[text]]  # the text goes to Python once, and comes back once
     whole = F.coalesce(F.col(at[text]), F.lit(""))
     rest = docs.toDF(*names).select(F.coalesce(F.col(at[key]).cast("long"), F.lit(LAST_KEY)).alias("_key"), F.xxhash64(whole).alias("_tid"), *names)
     spans = spans.select(F.col("key").alias("_k"), F.col("tid").alias("_t"), "copy", "spans").dropDuplicates(["_k", "_t"])
     rows = rest.join(spans, (F.col("_key") == F.col("_k")) & (F.col("_tid") == F.col("_t")))
-    rows = rows.select(F.col("_key").alias("key"), whole.alias("text"), F.col("_tid").alias("tid"), "copy", "spans", *names)
-    schema = ", ".join(f"{n} {k}" for n, (_, k) in zip(names, docs.dtypes, strict=True)) + ", _kept string, _n_words long, _n_removed long"
-    out = rows.mapInArrow(lean(_texts(window, names)), schema).where("_n_removed = 0 OR _n_removed < _n_words")
+    rows = rows.select(F.col("_key").alias("key"), whole.alias("text"), F.col("_tid").alias("tid"), "copy", "spans", *others)
+    kinds = dict(zip(names, (k for _, k in docs.dtypes), strict=True))
+    schema = ", ".join([*(f"{n} {kinds[n]}" for n in others), "_kept string", "_n_words long", "_n_removed long"])
+    out = rows.mapInArrow(lean(_texts(window, others)), schema).where("_n_removed = 0 OR _n_removed < _n_words")
     return out.select(*(F.col("_kept" if c == text else n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 

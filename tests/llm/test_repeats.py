@@ -78,3 +78,19 @@ def test_brute_force(spark, monkeypatch, hot):
         want.append((str(k), len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()))
     got = repeats.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
     assert sorted((str(r.key), r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
+
+
+def test_text_once(spark, monkeypatch):
+    """Python gets each text in one column and works on small slices of it and small shards; the other columns pass as they are, in their order."""
+    seen, shards, ranges = [], [], []
+    texts, passages, send = repeats._texts, repeats._passages, repeats._send_anchors
+    monkeypatch.setattr(repeats, "_texts", lambda window, names: seen.append(names) or texts(window, names))
+    monkeypatch.setattr(repeats, "_passages", lambda n, window: shards.append(n) or passages(n, window))
+    monkeypatch.setattr(repeats, "_send_anchors", lambda n, window: ranges.append(n) or send(n, window))
+    rows = [(f"s{i}", f"{own(i, 5)} {PASSAGE}", i, [i, None]) for i in range(9)] + [("none", None, 9, None), (None, PASSAGE, 10, [])]
+    docs = spark.createDataFrame(rows, "source string, text string, doc_id long, `a b` array<int>")
+    out = repeats.dedup(docs)
+    assert out.columns == docs.columns and seen == [["c0", "c2", "c3"]]
+    assert shards[0] > ranges[0]
+    got = sorted((r[2], r[0], r[1].strip(), r[3]) for r in out.collect())
+    assert got == [(i, f"s{i}", f"{own(i, 5)} {PASSAGE}" if i == 0 else own(i, 5), [i, None]) for i in range(9)] + [(9, "none", "", None)]
