@@ -6,7 +6,8 @@ classes by their endings, and a word's share of its class comes from its exact
 count, with one part left for unknown words.  So a state's emissions have a fixed
 size whatever the vocabulary, and sum to one.
 
-Training: word counts cover all training texts.  Baum-Welch runs over all of them
+Training: word counts cover all training texts.  Their class sequences are written
+once, two bytes a token, and all steps read those.  Baum-Welch runs over all of them
 in every partition, which sends its expected counts, of fixed size, to be added up:
 first `PASSES` passes in `FOLDS` steps each, every step over the texts of one fold
 with the parameters that the one before left, then `ROUNDS` rounds over all texts.
@@ -46,6 +47,8 @@ ROUNDS = 2
 #: Bytes of text that a task works on at once.
 SLICE = 2 << 20
 STRETCH = 512
+#: Tokens of one fold's texts in a row of class sequences, about; a longer text is a row of its own length.
+BLOCK = 400_000
 #: Words whose counts every task holds, at most.
 FREQUENT = 1 << 18
 #: Words that are classes of their own, at most.
@@ -205,7 +208,23 @@ def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
     return Vocabulary(tokens, distinct, texts, h, n, classes.astype(np.int32), mass, room)
 
 
-class Tokens:
+class Sequences:
+    """Class sequences of texts, one after the other; sizes count the end tokens."""
+
+    def __init__(self, size: np.ndarray, classes: np.ndarray):
+        self.size, self.classes = size, classes
+        self.first = np.concatenate([[0], np.cumsum(size)])
+
+    def stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, number of the text) of stretches of at most `STRETCH` tokens, in order."""
+        per = -(-self.size // STRETCH)
+        text = np.repeat(np.arange(len(per)), per)
+        k = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
+        start = self.first[text] + k * STRETCH
+        return start, np.minimum(STRETCH, self.first[text + 1] - start), text
+
+
+class Tokens(Sequences):
     """A slice's texts as class sequences, with an end token after each text."""
 
     def __init__(self, column: pa.Array, v: Vocabulary):
@@ -218,26 +237,16 @@ class Tokens:
         if len(v.hashes):
             classes = np.where(self.frequent, v.classes[self.place], classes)
         self.words = w
-        n = w.counts
-        self.size = n + 1
-        self.first = np.concatenate([[0], np.cumsum(self.size)])
-        self.classes = np.zeros(self.first[-1], np.int32)
+        size = w.counts + 1
+        super().__init__(size, np.zeros(int(size.sum()), np.int32))
         self.classes[np.arange(len(w)) + w.text_of()] = classes
         self.word_class = classes
 
-    def stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, length, number of the text) of stretches of at most `STRETCH` tokens, in order."""
-        per = -(-self.size // STRETCH)
-        text = np.repeat(np.arange(len(per)), per)
-        k = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-        start = self.first[text] + k * STRETCH
-        return start, np.minimum(STRETCH, self.first[text + 1] - start), text
-
 
 class Lanes:
     """A slice's stretches, longest first, for recursions in lockstep."""
 
-    def __init__(self, tokens: Tokens):
+    def __init__(self, tokens: Sequences):
         start, length, text = tokens.stretches()
         order = np.argsort(-length, kind="stable")
         self.start, self.length, self.text = start[order], length[order], text[order]
@@ -283,7 +292,7 @@ class Lanes:
             yield self.lane[self.of_text[text] + k], text
 
 
-def expected_counts(tokens: Tokens, p: Parameters) -> dict[str, np.ndarray]:
+def expected_counts(tokens: Sequences, p: Parameters) -> dict[str, np.ndarray]:
     """Baum-Welch counts of one slice: forward and backward over whole texts, all stretches in lockstep."""
     lanes, s = Lanes(tokens), len(p.start)
     emit, one = np.ascontiguousarray(p.emit.T), np.ones(s)
@@ -362,32 +371,59 @@ def first_guess(mass: np.ndarray, states: int) -> Parameters:
     return Parameters(np.full(states, 1 / states), move, emit / emit.sum(1, keepdims=True))
 
 
+def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """(fold, size, classes) of all texts of (id, text): the class sequences of one fold's texts in a partition, in rows of about `BLOCK` tokens."""
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(FOLDS)]
+
+        def flush(k: int) -> pa.RecordBatch:
+            size, classes = (np.concatenate([x[i] for x in held[k]]).tobytes() for i in range(2))
+            held[k].clear()
+            return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([size], pa.binary()), pa.array([classes], pa.binary())], ["fold", "size", "classes"])
+
+        for batch in batches:
+            for piece in slices(batch, "text", SLICE):
+                tokens, fold = Tokens(piece.column(0), shared.value), piece.column(1).to_numpy()
+                classes, of = tokens.classes.astype(np.uint16), np.repeat(fold, tokens.size)
+                for k in np.unique(fold).tolist():
+                    held[k].append((tokens.size[fold == k].astype(np.int64), classes[of == k]))
+                    if sum(len(x[1]) for x in held[k]) >= BLOCK:
+                        yield flush(k)
+        yield from (flush(k) for k in range(FOLDS) if held[k])
+
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
+    return docs.select("text", fold.alias("fold")).mapInArrow(lean(run), "fold int, size binary, classes binary")
+
+
 def train(docs: DataFrame, v: Vocabulary, states: int = STATES, passes: int = PASSES, rounds: int = ROUNDS) -> Parameters:
     """Baum-Welch over all texts: passes fold by fold, then rounds over all at once; docs: (id, text)."""
     p = first_guess(v.mass, states)
-    if not v.texts:
+    steps = [*(k for _ in range(passes) for k in range(FOLDS)), *[None] * rounds]
+    if not v.texts or not steps:
         return p
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(v)
-    part = F.pmod(F.xxhash64("text"), F.lit(FOLDS))
-    for step in [*(k for _ in range(passes) for k in range(FOLDS)), *[None] * rounds]:
+    encoded = cut(encode(docs, v))
+    for step in steps:
         now = sc.broadcast(p)
 
         def run(batches: Iterable[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             total: dict[str, np.ndarray] = {}
             for batch in batches:
-                for piece in slices(batch, "text", SLICE):
-                    total = _added(total, expected_counts(Tokens(piece.column(0), shared.value), now.value))
+                for size, classes in zip(*batch.columns, strict=True):
+                    texts = Sequences(np.frombuffer(size.as_buffer(), np.int64), np.frombuffer(classes.as_buffer(), np.uint16).astype(np.int32))
+                    total = _added(total, expected_counts(texts, now.value))
             yield from vector_rows(total)
 
-        chosen = docs if step is None else docs.where(part == step)
-        counts = sum_vectors(chosen.select("text").mapInArrow(lean(run), VECTOR_SCHEMA))
+        chosen = encoded if step is None else encoded.where(F.col("fold") == step)
+        counts = sum_vectors(chosen.select("size", "classes").mapInArrow(lean(run), VECTOR_SCHEMA))
         p = maximise(counts, v.mass) if counts else p
         now.unpersist()
     return p
 
 
-def log10_likelihood(tokens: Tokens, p: Parameters) -> np.ndarray:
+def log10_likelihood(tokens: Sequences, p: Parameters) -> np.ndarray:
     """log10 of the chance of each text's class sequence, by scaled forward recursion."""
     lanes = Lanes(tokens)
     whole, log = lanes.products(p, np.ones(len(lanes.start), bool))

@@ -83,3 +83,38 @@ def test_rounds_never_lose(spark):
     seen = [hmm.log10_likelihood(tokens, hmm.train(docs, v, 3, 0, n)).sum() for n in (0, 1, 4, 8)]
     assert seen == sorted(seen) and seen[-1] > seen[0] * 0.95
     assert hmm.log10_likelihood(tokens, hmm.train(docs, v, 3, 2, 1)).sum() > seen[0]
+
+
+@pytest.mark.parametrize("states", [1, 3])
+def test_texts_are_read_once(spark, states):
+    """Training reads each text once, for its class sequence, and counts all of them in every step: the parameters are those of plain steps over the folds."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.geometric(0.1, rng.integers(0, 900)))) for i in range(80)] + [(80, ""), (81, "\n"), (3, "w1 W1 w2")]
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        reads.add(1)
+        return row
+
+    plain_docs = spark.createDataFrame(rows, "id long, text string")
+    v = hmm.vocabulary(hmm.cut(hmm.count_words(plain_docs)), len(rows))
+    got = hmm.train(spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).map(seen), "id long, text string"), v, states, 2, 1)
+    assert reads.value == len(rows)
+    fold = [r[0] for r in plain_docs.selectExpr(f"pmod(xxhash64(text), {hmm.FOLDS})").collect()]
+    want = hmm.first_guess(v.mass, states)
+    for step in [*range(hmm.FOLDS), *range(hmm.FOLDS), None]:
+        texts = [t for (_, t), k in zip(rows, fold, strict=True) if step in (None, k)]
+        want = hmm.maximise(hmm.expected_counts(hmm.Tokens(pa.array(texts), v), want), v.mass)
+    for name in ("start", "move", "emit"):
+        assert np.allclose(getattr(got, name), getattr(want, name), rtol=1e-9)
+
+
+def test_blocks(spark):
+    """The class sequences of all texts are written, a long text's in one row, two bytes a token."""
+    rows = [(i, "a b c " * n) for i, n in enumerate([1, 0, 200_000, 3, 5])]
+    docs = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    v = hmm.vocabulary(hmm.cut(hmm.count_words(docs)), len(rows))
+    got = hmm.encode(docs, v).collect()
+    sizes = [n for r in got for n in np.frombuffer(r.size, np.int64).tolist()]
+    assert sorted(sizes) == [1, 4, 10, 16, 600_001]
+    assert all(len(r.classes) == 2 * np.frombuffer(r.size, np.int64).sum() for r in got)
