@@ -5,10 +5,8 @@ Kernels run over the photos of 8 x 8 pixels, which SQL can follow pixel by pixel
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, names
@@ -26,8 +24,14 @@ def each(spark: SparkSession, sf_dir: str, run, columns: str) -> DataFrame:
 
 
 def added(values: np.ndarray) -> float:
-    """The sum of doubles, rounded once: a total that lies on a rounding edge stays there."""
-    return math.fsum(values.ravel().tolist())
+    """The sum of doubles in the order of the pixels, as the SQL adds: on a rounding edge the last bit decides."""
+    return float(np.cumsum(np.append(0.0, values))[-1])
+
+
+def rounded(column: str, digits: int) -> Column:
+    """Rounded as DuckDB does it, after a multiplication in doubles; Spark's own rounds the shortest decimal."""
+    scale = F.lit(10.0**digits)
+    return F.round(F.col(column) * scale) / scale
 
 
 @query(" SELECT path, sum(p)::BIGINT AS total FROM img GROUP BY 1", _IMG)
@@ -49,7 +53,7 @@ def photo_stretched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(", q AS (SELECT path, min(p) AS a, quantile_cont(p, 0.995) - min(p) AS b FROM img GROUP BY 1) SELECT path, round(sum(CASE WHEN b > 0 THEN least((p - a) / b, 1) ELSE 0 END), 1) AS total FROM img JOIN q USING (path) GROUP BY 1", _IMG)
 def photo_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return each(spark, sf_dir, lambda x: (added(filters.unit(x, np.float64)),), "total double").withColumn("total", F.round("total", 1))
+    return each(spark, sf_dir, lambda x: (added(filters.unit(x, np.float64)),), "total double").withColumn("total", rounded("total", 1))
 
 
 @query(

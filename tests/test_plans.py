@@ -193,3 +193,18 @@ def test_greedy_dense(spark, monkeypatch, radius, wide, rounds):
     for g in "ab":
         want |= dict(brute_force([r.asDict() for r in df.where(F.col("g") == g).collect() if r.id < 5000], radius))
     assert {r.id: r.seed for r in dedup.assign_seeds(df, radius, on=["g"], rounds=rounds).collect()} == want
+
+
+def on_edge(spark, folder, name, pixels):
+    """(got, by SQL) of a table of one photo, whose pixels the SQL can add up in one order only."""
+    spark.createDataFrame([(0, [(p + 0.5) / 127.5 - 1 for p in pixels])], "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    return [r.total for r in queries.QUERIES[name](spark, str(folder)).collect()], [r[1] for r in con.execute(queries.ORACLES[name]).fetchall()]
+
+
+def test_unit_on_edge(spark, tmp_path):
+    """The total is 38.35 in real numbers, less than that when its doubles are added one after the other."""
+    pixels = bytes.fromhex("6a6d6e82807d74879d7175757f8c6c828b8c839574936f7f628e6a8491647e667b7b7b8b9d8c4d7c79737d8693707d7893666379897189887b7987769289658b")
+    assert on_edge(spark, tmp_path, "photo_unit", pixels) == ([38.3], [38.3])
