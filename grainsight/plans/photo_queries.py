@@ -48,7 +48,7 @@ def photo_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(", q AS (SELECT path, quantile_cont(p, 0.01) AS a, quantile_cont(p, 0.99) AS b FROM img GROUP BY 1) SELECT path, round(sum(CASE WHEN b > a THEN least(greatest((p - a) / (b - a), 0), 1) ELSE p END), 1) AS total FROM img JOIN q USING (path) GROUP BY 1", _IMG)
 def photo_stretched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return each(spark, sf_dir, lambda x: (added(filters.stretched(x, 1, 99, np.float64)),), "total double").withColumn("total", F.round("total", 1))
+    return each(spark, sf_dir, lambda x: (added(filters.stretched(x, 1, 99, np.float64)),), "total double").withColumn("total", rounded("total", 1))
 
 
 @query(", q AS (SELECT path, min(p) AS a, quantile_cont(p, 0.995) - min(p) AS b FROM img GROUP BY 1) SELECT path, round(sum(CASE WHEN b > 0 THEN least((p - a) / b, 1) ELSE 0 END), 1) AS total FROM img JOIN q USING (path) GROUP BY 1", _IMG)
