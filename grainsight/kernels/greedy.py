@@ -8,7 +8,7 @@ to be asked again in blocks that lie elsewhere.  Nothing that is decided can cha
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -72,10 +72,10 @@ def decide(block: np.ndarray, x: np.ndarray, y: np.ndarray, ox: np.ndarray, oy:
     return state[place], seed[place]
 
 
-def decided(batches: Iterable[pa.RecordBatch], wide: float, radius: float, names: list[str]) -> Iterator[pa.RecordBatch]:
+def decided(batches: Iterable[pa.RecordBatch], rule: Callable[..., tuple[np.ndarray, np.ndarray]], names: list[str], settled: Sequence[int] = (LOST,)) -> Iterator[pa.RecordBatch]:
     """Rows (x, y, ox, oy, id, rest, the block's columns), block by block, in order of priority: (id, seed, state, rest).
 
-    `rest` is kept where a row isn't settled: of seeds and of those that are lost for sure only what the caller still needs.
+    `rule(block, x, y, ox, oy, rest)` decides; `rest` is dropped from rows in a `settled` state.
     """
     held: list[pa.RecordBatch] = []
 
@@ -84,11 +84,11 @@ def decided(batches: Iterable[pa.RecordBatch], wide: float, radius: float, names
         block = np.cumsum(changes([rows.column(i).to_numpy() for i in range(6, rows.num_columns)]))
         n = len(block) if whole else int(np.searchsorted(block, block[-1]))
         now = rows.slice(0, n)
-        x, y, ox, oy = (now.column(c).to_numpy() for c in ("x", "y", "ox", "oy"))
-        state, seed = decide(block[:n], x, y, ox, oy, wide, radius)
+        rest = now.column("rest").combine_chunks()
+        state, seed = rule(block[:n], *(now.column(c).to_numpy() for c in ("x", "y", "ox", "oy")), rest)
         own = now.column("id").combine_chunks()
         of = own.take(pa.array(seed, mask=seed < 0))
-        rest = now.column("rest").combine_chunks().take(pa.array(np.arange(n), mask=state == LOST))
+        rest = rest.take(pa.array(np.arange(n), mask=np.isin(state, settled)))
         return pa.RecordBatch.from_arrays([own, of, pa.array(state), rest], names), rows.slice(n)
 
     waiting = kept = 0

@@ -12,17 +12,18 @@ is decided component by component.  Priority is a total order: confidence descen
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, StructField, StructType
 
 from ..functions import names
-from ..kernels import greedy
+from ..kernels import greedy, slots
 from .checkpoint import cut
 from .graph import connected_components
 from .spatial import limited_pairs, range_join
@@ -32,6 +33,8 @@ PRIORITY = ("confidence", "source_tile", "y", "x", "id")
 ROUNDS = 8
 #: Blocks are so many limits wide, less where the fullest has more rows than this, and lie at these shifts in turn.
 BLOCK, MOST = 32, 1_000_000
+#: Blocks are dealt to twice as many parts as there are of them, but not to parts of fewer rows than this; to Spark's own number at least.
+PART = 10_000
 SHIFTS = ((0.0, 0.0), (0.5, 0.5), (0.5, 0.0), (0.0, 0.5))
 
 
@@ -64,51 +67,70 @@ def assign_seeds(rows: DataFrame, radius: float, fraction: float = 0.0, on: Sequ
 
 
 def _seeds_in_blocks(rows: DataFrame, radius: float, on: Sequence[str], rounds: int) -> DataFrame:
-    """`assign_seeds` with one limit for all: each pass decides what blocks of the plane show, see `kernels.greedy`; no list of pairs.
+    """`assign_seeds` with one limit for all, see `kernels.greedy`; no list of pairs."""
+    slim, there, keys = _slim(rows, radius, on)
+    rest = ["x", "y", "confidence", "source_tile", *keys]
+    found = _in_blocks(slim.where(there), radius, keys, rest, [priority()[c] for c in "ctyxi"], rounds, 4, _decided)
+    of = lambda *states: found.where(F.col("state").isin(*states))
+    unsure = of(greedy.UNSURE).select("id", "rest.x", "rest.y", *(f"rest.{k}" for k in keys))
+    seeds = of(greedy.SEED).select("id", "rest.*").withColumn("p", priority()).select("id", "x", "y", "p", *keys)
+    owners = range_join(unsure, seeds, radius, keys).groupBy(F.col("l.id").alias("id")).agg(F.min_by("r.id", "r.p").alias("seed"))
+    sure = of(greedy.SEED, greedy.LOST).select("id", F.when(F.col("state") == greedy.SEED, F.col("id")).otherwise(F.col("seed")).cast(dict(rows.dtypes)["id"]).alias("seed"))
+    return sure.unionByName(owners).unionByName(slim.where(~there).select("id", F.col("id").alias("seed")))
 
-    Blocks of the next pass lie elsewhere.  After `rounds` passes they grow, so that
-    long chains of ever better detections end.
-    """
+
+def _slim(rows: DataFrame, radius: float, on: Sequence[str]) -> tuple[DataFrame, F.Column, list[str]]:
+    """What blocks need of the rows, which rows meet others at all, and the names of the columns `on`."""
     if radius < 0:
         raise ValueError("a radius can't be negative")
     keys = [f"_k{i}" for i in range(len(on))]
-    key_type = dict(rows.dtypes)["id"]
     slim = rows.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "confidence", "source_tile", *(F.col(k).alias(n) for k, n in zip(on, keys, strict=True)))
     # rows without a place or a group meet nothing
     there = reduce(lambda a, b: a & b, [F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) for c in ("x", "y")] + [F.col(k).isNotNull() for k in keys])
-    open_ = slim.where(there)
+    return slim, there, keys
+
+
+def _in_blocks(open_: DataFrame, radius: float, keys: list[str], rest: list[str | F.Column], order: list[F.Column], rounds: int, least: int, decided: Callable) -> DataFrame:
+    """(id, seed, state, rest) of all passes: each decides what blocks of the plane show, and open rows are asked again.
+
+    Blocks of the next pass lie elsewhere.  After `rounds` passes they grow, so that
+    long chains of ever better detections end.  `least`: the width of blocks, in limits,
+    below which they aren't halved.  `decided(wide, radius, ends)` makes what runs over
+    the batches; no row lies outside of `ends`.
+    """
     unit = float(radius) if radius > 0 else 1.0
     at = lambda c, wide, shift: F.floor(F.col(c) / F.lit(wide) - F.lit(shift)).cast("long")
     wide = BLOCK * unit
-    fullest = open_.groupBy(*keys, at("x", wide, 0.0), at("y", wide, 0.0)).count().agg(F.max("count")).head()[0] or 0
-    while fullest > MOST and wide > 4 * unit:
-        wide, fullest = wide / 2, fullest / 4
-    where, rest = [*keys, "_bx", "_by"], ["x", "y", "confidence", "source_tile", *keys]
-    schema = StructType([StructField("id", slim.schema["id"].dataType), StructField("seed", slim.schema["id"].dataType), StructField("state", ByteType()), StructField("rest", slim.select(F.struct(*rest).alias("r")).schema["r"].dataType)])
+    counts = open_.groupBy(*keys, at("x", wide, 0.0), at("y", wide, 0.0)).agg(F.count("*").alias("n"), *(f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))))
+    blocks, fullest, left, *ends = counts.agg(F.count("*"), F.max("n"), F.sum("n"), F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).head()
+    fullest, left = fullest or 0, left or 0
+    while fullest > MOST and wide > least * unit:
+        wide, fullest, blocks = wide / 2, fullest / 4, blocks * 4
+    least_parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    where = [*keys, "_bx", "_by"]
+    slim = open_.select("id", F.struct(*rest).alias("rest")).schema
+    schema = StructType([StructField("id", slim["id"].dataType), StructField("seed", slim["id"].dataType), StructField("state", ByteType()), StructField("rest", slim["rest"].dataType)])
     passes, done = [], 0
     while True:
         wide *= 2 if done >= rounds else 1
         sx, sy = SHIFTS[done % len(SHIFTS)]
-        dealt = open_.withColumns({"_bx": at("x", wide, sx), "_by": at("y", wide, sy)}).repartition(F.xxhash64(*where, F.lit(0)))
-        dealt = dealt.sortWithinPartitions(*where, *(priority()[c] for c in "ctyxi"))
+        # so many that few full blocks don't meet in one part while others have none
+        parts = max(least_parts, min(2 * blocks, left // PART))
+        dealt = open_.withColumns({"_bx": at("x", wide, sx), "_by": at("y", wide, sy)}).repartition(parts, F.xxhash64(*where, F.lit(0)))
+        dealt = dealt.sortWithinPartitions(*where, *order)
         corner = [((F.col(b) + F.lit(s)) * F.lit(wide)).alias(o) for b, s, o in (("_bx", sx, "ox"), ("_by", sy, "oy"))]
         asked = dealt.select("x", "y", *corner, "id", F.struct(*rest).alias("rest"), *where)
-        passes.append(cut(asked.mapInArrow(_decided(wide, float(radius)), schema)))
-        open_ = passes[-1].where(F.col("state") == greedy.OPEN).select("id", "rest.*")
+        passes.append(cut(asked.mapInArrow(decided(wide, float(radius), tuple(ends)), schema)))
+        open_, rest = passes[-1].where(F.col("state") == greedy.OPEN).select("id", "rest.*"), slim["rest"].dataType.names
         done += 1
-        if open_.isEmpty():
-            break
-    found = reduce(DataFrame.unionByName, passes)
-    of = lambda *states: found.where(F.col("state").isin(*states))
-    unsure = of(greedy.UNSURE).select("id", "rest.x", "rest.y", *(f"rest.{k}" for k in keys))
-    seeds = of(greedy.SEED).select("id", "rest.*").withColumn("p", priority()).select("id", "x", "y", "p", *keys)
-    owners = range_join(unsure, seeds, radius, keys).groupBy(F.col("l.id").alias("id")).agg(F.min_by("r.id", "r.p").alias("seed"))
-    sure = of(greedy.SEED, greedy.LOST).select("id", F.when(F.col("state") == greedy.SEED, F.col("id")).otherwise(F.col("seed")).cast(key_type).alias("seed"))
-    return sure.unionByName(owners).unionByName(slim.where(~there).select("id", F.col("id").alias("seed")))
+        left = open_.count()
+        if not left:
+            return reduce(DataFrame.unionByName, passes)
 
 
-def _decided(wide: float, radius: float):
-    return lambda batches: greedy.decided(batches, wide, radius, ["id", "seed", "state", "rest"])
+def _decided(wide: float, radius: float, ends: tuple[float, ...]):
+    rule = lambda block, x, y, ox, oy, rest: greedy.decide(block, x, y, ox, oy, wide, radius)
+    return lambda batches: greedy.decided(batches, rule, ["id", "seed", "state", "rest"])
 
 
 def _seeds_by_pairs(rows: DataFrame, radius: float, fraction: float, on: Sequence[str], rounds: int) -> DataFrame:
@@ -210,8 +232,32 @@ def _slot_clusters(radius: float, fraction: float):
     return run
 
 
-def assign_slot_seeds(rows: DataFrame, radius: float, fraction: float = 0.4, on: Sequence[str] = ()) -> DataFrame:
-    """(id, seed) of slot-aware clusters.
+def assign_slot_seeds(rows: DataFrame, radius: float, fraction: float = 0.4, on: Sequence[str] = (), rounds: int = ROUNDS) -> DataFrame:
+    """(id, seed) of slot-aware clusters; columns id, x, y, size, confidence, source_tile and `on`."""
+    return _slots_by_component(rows, radius, fraction, on) if fraction > 0 else _slots_in_blocks(rows, radius, on, rounds)
+
+
+def _slots_in_blocks(rows: DataFrame, radius: float, on: Sequence[str], rounds: int) -> DataFrame:
+    """`assign_slot_seeds` with one limit for all, see `kernels.slots`; no list of pairs."""
+    slim, there, keys = _slim(rows, radius, on)
+    # slots are read from names once those are columns, after the shuffle: the expression repeats them many times
+    rest = ["x", "y", "confidence", "source_tile", names.slot("source_tile").alias("slot"), *keys]
+    best = F.when(~F.isnan("confidence"), -F.col("confidence"))
+    order = [c.asc_nulls_last() for c in (best, F.col("source_tile"), F.col("y"), F.col("x"), F.col("id"))]
+    found = _in_blocks(slim.where(there), radius, keys, rest, order, rounds, 16, _slots_decided)
+    return found.where(F.col("state") != greedy.OPEN).select("id", "seed").unionByName(slim.where(~there).select("id", F.col("id").alias("seed")))
+
+
+def _slots_decided(wide: float, radius: float, ends: tuple[float, ...]):
+    def rule(block: np.ndarray, x: np.ndarray, y: np.ndarray, ox: np.ndarray, oy: np.ndarray, rest: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        slot = rest.field("slot").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return slots.decide(block, x, y, ox, oy, slot, wide, radius, ends)
+
+    return lambda batches: greedy.decided(batches, rule, ["id", "seed", "state", "rest"], (greedy.SEED, greedy.LOST))
+
+
+def _slots_by_component(rows: DataFrame, radius: float, fraction: float, on: Sequence[str]) -> DataFrame:
+    """`assign_slot_seeds` where limits grow with size.
 
     Members compete, so this is sequential inside a component of the pair graph;
     components are independent and run as groups.  A component is as large as the
@@ -241,6 +287,6 @@ def route_and_deduplicate(rows: DataFrame, pixel_nm: float, radius_px: float = 8
     """`rows` with a boolean column placed, de-duplicated group by group and numbered throughout."""
     tagged = rows.withColumn("_group", dedup_group(F.col("source_tile"), F.col("placed")))
     by_slot = F.col("_group").startswith("light:") | (F.col("_group") == "letters")
-    plain, slots = tagged.where(~by_slot), tagged.where(by_slot)
-    seeds = assign_seeds(plain, radius_px * pixel_nm, 0.0, ["_group"]).unionByName(assign_slot_seeds(slots, max(radius_px, slot_radius_px) * pixel_nm, fraction, ["_group"]))
+    plain, slotted = tagged.where(~by_slot), tagged.where(by_slot)
+    seeds = assign_seeds(plain, radius_px * pixel_nm, 0.0, ["_group"]).unionByName(assign_slot_seeds(slotted, max(radius_px, slot_radius_px) * pixel_nm, fraction, ["_group"]))
     return merged(tagged, seeds, aggregation).drop("_group")

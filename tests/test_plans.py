@@ -214,3 +214,26 @@ def test_unit_on_edge(spark, tmp_path):
 def test_stretched_on_edge(spark, tmp_path, pixels, total):
     """31.25 is missed by the order of addition; 28.849999999999998 is rounded up, as ten times that is 288.5 in doubles."""
     assert on_edge(spark, tmp_path, "photo_stretched", bytes.fromhex(pixels)) == ([total], [total])
+
+
+@pytest.mark.parametrize("radius, rounds", [(8.0, 8), (8.0, 0), (0.0, 8)])
+def test_slots_in_blocks(spark, monkeypatch, radius, rounds):
+    """As by the rule over all rows of a group, one after the other, without a list of pairs; many at one place, some without one."""
+
+    def no_pairs(*_):
+        raise AssertionError("pairs are listed")
+
+    monkeypatch.setattr(dedup, "limited_pairs", no_pairs)
+    tiles = ["N.png", "S.png", "E.png", "v1/wafer_shot_0_quad2_exp9.png", "uniform.png"]
+    rows = [(i, float(i * i * 31 % 601), float(i * i % 997 * (i % 911) % 613), 1.0, float(i * 7907 % 89), tiles[i * i % 17 % 5], "ab"[i % 7 == 0]) for i in range(4000)]
+    rows += [(i, 300.0, 300.0, 1.0, float(i % 5), tiles[i % 5], "a") for i in range(4000, 4600)]
+    rows += [(5000, None, 1.0, 1.0, 1.0, "N.png", "a"), (5001, float("nan"), 1.0, 1.0, 2.0, "S.png", "a"), (5002, 300.0, 300.0, 1.0, 1.0, "N.png", None)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, size double, confidence double, source_tile string, g string")
+    frame = df.where("id < 5000").withColumn("slot", names.slot("source_tile")).toPandas()
+    want = {5000: 5000, 5001: 5001, 5002: 5002}
+    for _, group in frame.groupby("g"):
+        found = dedup._slot_clusters(radius, 0.0)(group)
+        want |= dict(zip(found["id"], found["seed"], strict=True))
+    got = dedup.assign_slot_seeds(df, radius, 0.0, ["g"], rounds).collect()
+    assert len(got) == len(want) and {r.id: r.seed for r in got} == want
+    assert sum(a != b for a, b in want.items()) > 100
